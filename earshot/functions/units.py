@@ -346,11 +346,12 @@ def mentioned(text: str | None) -> tuple[int, ...]:
     return tuple(found)
 
 
-def best(options: Iterable[Reading], low_ms: float | None, high_ms: float | None, mentions: Iterable[int] = (), weight: float = 12.0) -> tuple[Reading | None, bool]:
+def best(options: Iterable[Reading], low_ms: float | None, high_ms: float | None, mentions: Iterable[int] = (), weight: float = 12.0, usual_ms: tuple[int, int] = (20_000, 21_600_000)) -> tuple[Reading | None, bool]:
     """The reading that fits best, and whether evidence (a range of likely lengths, or lengths mentioned) told it.
 
     A reading loses ``weight`` times the log of the factor by which it misses the range, and gains
-    if a mentioned length is the same up to the figures' coarseness."""
+    if a mentioned length is the same up to the figures' coarseness. Without a range, a reading outside
+    ``usual_ms`` is unlikely."""
     options = list(options)
     if not options:
         return None, False
@@ -361,7 +362,10 @@ def best(options: Iterable[Reading], low_ms: float | None, high_ms: float | None
         if low_ms and high_ms:
             below, above = (r.ms + r.slack) / low_ms, r.ms / high_ms
             s += weight * min(0.0, math.log(below)) - weight * max(0.0, math.log(above))
-        elif mentions and any(abs(r.ms - x) <= max(r.slack, 60_000 if x % 60_000 == 0 else 1_000) for x in mentions):
+            return s
+        if not usual_ms[0] <= r.ms <= usual_ms[1]:
+            s -= weight / 2
+        if mentions and any(abs(r.ms - x) <= max(r.slack, 60_000 if x % 60_000 == 0 else 1_000) for x in mentions):
             s += weight
         return s
 

@@ -55,7 +55,7 @@ def _read(kbit: tuple[float, float], least_bytes: int, usual_ms: tuple[int, int]
                     continue
                 n = _number(b)
                 has = n is not None and n >= least_bytes
-                chosen, told = best(options, n * 8 / high if has else None, n * 8 / low if has else None, mentioned(c) if not has and len(options) > 1 and isinstance(c, str) else ())
+                chosen, told = best(options, n * 8 / high if has else None, n * 8 / low if has else None, mentioned(c) if not has and len(options) > 1 and isinstance(c, str) else (), usual_ms=usual_ms)
                 if chosen.unit == "written":
                     rows.append((chosen.ms, "written", True, None, None))
                 else:
