@@ -9,6 +9,7 @@ from ..session import checkpointed
 from ..sources.tables import table
 from .encode import token_counts, token_ids
 from .mixing import Leaf, budgets, leaf_sizes, select_mix, shortfalls
+from .sentences import sentence_units
 
 # ---- 6: encoding of the corpus
 
@@ -83,5 +84,13 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return joined.join(whole, how="left").select("source", "target_weight", (F.lit(total) * F.col("target_weight")).alias("target_tokens"), "tokens", "documents", (F.col("tokens") / F.col("_all")).alias("actual_share"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares}
+# ---- 8: sentences
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The sentences of every document."""
+    return sentence_units(table(spark, folder, "documents"))
+
+
+QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
 SQL: dict[str, str] = {}
