@@ -10,6 +10,29 @@ from ..sources.tables import table
 from .encode import token_counts, token_ids
 from .mixing import Leaf, budgets, leaf_sizes, select_mix, shortfalls
 from .sentences import sentence_units
+from .turns import speaker_turns, utterances
+
+# ---- 3: speaker turns
+
+
+def _segments(spark: SparkSession, folder: str) -> DataFrame:
+    """The transcript rows with their series' language; podcast_series is a fixed, small table, broadcast if its size allows."""
+    series = table(spark, folder, "podcast_series").groupBy("series_id").agg(F.min(F.lower(F.substring(F.trim("lang_code"), 1, 2))).alias("language"))
+    rows = table(spark, folder, "transcript_segments").select("segment_id", "episode_id", "series_id", "start_time", "end_time", "transcript", "speaker_label")
+    return rows.join(series, "series_id", "left")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The turns, unlabelled utterances going to the speaker before them, as TESTDATA.md has it."""
+    turns = speaker_turns(utterances(_segments(spark, folder), table(spark, folder, "episode_speakers")))
+    return turns.select("episode_id", "speaker", "first_segment_id", "last_segment_id", "n_words")
+
+
+def p3_profiled(spark: SparkSession, folder: str) -> DataFrame:
+    """The turns, unlabelled utterances decoded with participants' language profiles too."""
+    turns = speaker_turns(utterances(_segments(spark, folder), table(spark, folder, "episode_speakers"), profile=True), profile_weight=1.0)
+    return turns.select("episode_id", "speaker", "first_segment_id", "last_segment_id", "n_words", "n_utterances")
+
 
 # ---- 6: encoding of the corpus
 
@@ -92,5 +115,5 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentence_units(table(spark, folder, "documents"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
+QUERIES = {"p3_found": p3_found, "p3_profiled": p3_profiled, "p6_ids": p6_ids, "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
 SQL: dict[str, str] = {}
