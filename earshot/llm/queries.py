@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.compat import clock_ms
+from ..operators.intervals import whole_ms
 from ..session import checkpointed
 from ..sources.tables import table
 from .encode import token_counts, token_ids
 from .mixing import Leaf, budgets, leaf_sizes, select_mix, shortfalls
 from .sentences import sentence_units
+from .splitting import covered_texts, split_texts
 from .turns import speaker_turns, utterances
 
 # ---- 3: speaker turns
@@ -34,6 +37,54 @@ def p3_profiled(spark: SparkSession, folder: str) -> DataFrame:
     return turns.select("episode_id", "speaker", "first_segment_id", "last_segment_id", "n_words", "n_utterances")
 
 
+# ---- 4: splitting
+
+_LIMIT, _OVERLAP = 4000, 200
+
+
+def _items(spark: SparkSession, folder: str) -> DataFrame:
+    """The oversized transcripts, and the oversized texts that ranges of segment_results cover."""
+    segments = table(spark, folder, "transcript_segments").select("segment_id", "episode_id", "start_time", "end_time", "transcript")
+    long = segments.where(F.char_length("transcript") > _LIMIT).groupBy("segment_id").agg(F.min("transcript").alias("text"))
+    utterance = long.select(F.lit("utterance").alias("item_kind"), F.col("segment_id").alias("item_id"), "text")
+    said = segments.select(F.col("episode_id").alias("group_id"), F.col("segment_id").alias("utterance_id"), clock_ms(F.col("start_time")).alias("start_ms"), clock_ms(F.col("end_time")).alias("end_ms"), F.col("transcript").alias("text"))
+    ranges = table(spark, folder, "segment_results").select(F.col("episode_id").alias("group_id"), F.col("result_segment_id").alias("range_id"), whole_ms(F.col("start_sec")).alias("start_ms"), whole_ms(F.col("end_sec")).alias("end_ms"))
+    covered = covered_texts(said, ranges, _LIMIT)
+    return utterance.unionByName(covered.select(F.lit("segment").alias("item_kind"), F.col("range_id").alias("item_id"), "text"))
+
+
+def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of all oversized items."""
+    return split_texts(_items(spark, folder), "text", ["item_kind", "item_id"], _LIMIT, _OVERLAP)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The items that had to be split: those with a second piece."""
+    return p4_pieces(spark, folder).where(F.col("piece") == 1).select("item_kind", "item_id").distinct()
+
+
+P4_FOUND = """
+WITH t AS (
+  SELECT DISTINCT ON (segment_id) segment_id, episode_id, transcript,
+    CASE WHEN start_time LIKE '%:%:%' THEN split_part(start_time, ':', 1)::BIGINT * 3600000 + split_part(start_time, ':', 2)::BIGINT * 60000 + round(split_part(start_time, ':', 3)::DECIMAL(18, 6) * 1000)::BIGINT
+      WHEN start_time LIKE '%:%' THEN split_part(start_time, ':', 1)::BIGINT * 60000 + round(split_part(start_time, ':', 2)::DECIMAL(18, 6) * 1000)::BIGINT
+      ELSE round(replace(replace(trim(start_time), 's', ''), ',', '.')::DECIMAL(18, 6) * 1000)::BIGINT END a,
+    CASE WHEN end_time LIKE '%:%:%' THEN split_part(end_time, ':', 1)::BIGINT * 3600000 + split_part(end_time, ':', 2)::BIGINT * 60000 + round(split_part(end_time, ':', 3)::DECIMAL(18, 6) * 1000)::BIGINT
+      WHEN end_time LIKE '%:%' THEN split_part(end_time, ':', 1)::BIGINT * 60000 + round(split_part(end_time, ':', 2)::DECIMAL(18, 6) * 1000)::BIGINT
+      ELSE round(replace(replace(trim(end_time), 's', ''), ',', '.')::DECIMAL(18, 6) * 1000)::BIGINT END b
+  FROM transcript_segments ORDER BY segment_id, ingested_at
+), r AS (
+  SELECT DISTINCT result_segment_id, episode_id, CAST(floor(start_sec * 1000.0 + 0.5) AS BIGINT) a, CAST(floor(end_sec * 1000.0 + 0.5) AS BIGINT) b
+  FROM segment_results WHERE isfinite(start_sec) AND isfinite(end_sec)
+)
+SELECT 'utterance' item_kind, segment_id item_id FROM t WHERE length(transcript) > 4000
+UNION ALL
+SELECT DISTINCT 'segment', result_segment_id FROM (
+  SELECT r.result_segment_id, r.a, r.b FROM r JOIN t ON t.episode_id = r.episode_id AND t.a >= r.a AND t.b <= r.b AND t.transcript <> ''
+  WHERE r.b > r.a GROUP BY ALL HAVING sum(length(t.transcript)) + count(*) - 1 > 4000)
+"""
+
+
 # ---- 6: encoding of the corpus
 
 
@@ -115,5 +166,5 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentence_units(table(spark, folder, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_profiled": p3_profiled, "p6_ids": p6_ids, "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
-SQL: dict[str, str] = {}
+QUERIES = {"p3_found": p3_found, "p3_profiled": p3_profiled, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
+SQL = {"p4_found": P4_FOUND}
