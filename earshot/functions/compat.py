@@ -78,7 +78,7 @@ def cut(text: Column, size: int, mark: str = "...") -> Column:
 
 def trimmed(text: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(text, r"(?U)^[\s﻿]+|[\s﻿]+$", "")
+    return F.regexp_replace(text, r"(?U)^[\s\ufeff]+|[\s\ufeff]+$", "")
 
 
 def first_part(identifier: Column) -> Column:

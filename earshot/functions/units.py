@@ -145,7 +145,7 @@ _ABOUT = re.compile(
     r"^(?:\s|[~≈∼±]|(?:about|approximately|approx|around|roughly|circa|ca|c|etwa|ungefähr|ungef|rund|zirka|env|environ|à peu près|unos|unas|aproximadamente|aprox|cerca de|alrededor de|約|およそ|约|大约|около|примерно|περίπου|ประมาณ|लगभग|حوالي)(?:\.|(?=[\s\d~])))+",
     re.I,
 )
-_NUMBER = r"\d+(?:[.,'’   ]\d{3})+(?![\d])(?:[.,]\d+)?|\d+(?:[.,]\d+)?"
+_NUMBER = r"\d+(?:[.,'’ \u00a0\u202f]\d{3})+(?![\d])(?:[.,]\d+)?|\d+(?:[.,]\d+)?"
 _GLUE = re.compile(r"(?:\s|[,;+·]|-(?=\d)|\b(?:and|und|et|y|e|и|και|と)\b)*", re.I)
 _ISO = re.compile(r"p(?:(\d+(?:[.,]\d+)?)w)?(?:(\d+(?:[.,]\d+)?)d)?(?:t(?:(\d+(?:[.,]\d+)?)h)?(?:(\d+(?:[.,]\d+)?)m)?(?:(\d+(?:[.,]\d+)?)s)?)?$", re.I)
 _CLOCK = re.compile(r"(\d+)\s*:\s*(\d+)(?:\s*:\s*(\d+))?(?:\s*:\s*(\d+))?(?:[.,](\d+))?\s*(\D*)$")
@@ -230,7 +230,7 @@ def _spoken(text: str) -> float | None:
 
 def _figures(text: str) -> list[tuple[float, bool, float]]:
     """Values of a figure with separators: (value, whole number?, prior)."""
-    text = re.sub(r"[   '’]", "", text)
+    text = re.sub(r"[ \u00a0\u202f'’]", "", text)
     marks = re.findall(r"[.,]", text)
     if not marks:
         return [(float(text), True, 1.0)]
@@ -340,7 +340,7 @@ def mentioned(text: str | None) -> tuple[int, ...]:
     if not text:
         return ()
     found = []
-    for m in re.finditer(r"(\d+(?:[.,]\d+)?)(?:\s|-| )?([^\W\d_]+)", text):
+    for m in re.finditer(r"(\d+(?:[.,]\d+)?)(?:\s|-|\u00a0)?([^\W\d_]+)", text):
         if f := time_unit(m[2]):
             found.append(round(float(m[1].replace(",", ".")) * f * 1000))
     return tuple(found)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import general
+from . import general, podcast
 
-QUERIES = {**general.QUERIES}
-SQL = {**general.SQL}
-FLAGSHIP = "p2_found"
+QUERIES = {**general.QUERIES, **podcast.QUERIES}
+SQL = {**general.SQL, **podcast.SQL}
+FLAGSHIP = "flagship_fallback_pipeline"
