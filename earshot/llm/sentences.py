@@ -28,7 +28,7 @@ _STRONG = "!?‼‽⁇⁈⁉՜՝՞։؝؞؟۔܀܁܂߹࠷࠹࠽࠾।॥၊။።
 # Terminators of scripts without blanks between sentences.
 _DENSE = "。．！？｡︒﹒﹖﹗"
 _TERMINATOR = re.compile(rf"[.…{re.escape(_STRONG)}{_DENSE};;]+(?:\s*[!?](?![\w]))*")
-_LINE = re.compile("[^\n\r\x0b\x0c\x85  ]+")
+_LINE = re.compile("[^\n\r\x0b\x0c\x85\u2028\u2029]+")
 _CLOSERS = "\"'”’»«“)]}」』》】）〉〕›‹*_~"
 _OPENERS = "\"'“„«»‘‚‹(¿¡[{「『《〈【（—–-‐*_"
 # What closes what; German and other quotations turn the marks round.

@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 from .encode import _in_parts
 from .sentences import sentences
 
-_PARAGRAPH = re.compile(r"(?:\r\n|\n|\r| | |\x85)+")
-_CLAUSE = re.compile(r"[,;:،、，；：·–—)\]」』»”]+(?=\s|[　-鿿＀-￯])")
+_PARAGRAPH = re.compile(r"(?:\r\n|\n|\r|\u2028|\u2029|\x85)+")
+_CLAUSE = re.compile(r"[,;:،、，；：·–—)\]」』»”]+(?=\s|[\u3000-鿿＀-￯])")
 _WORD = re.compile(r"\s+")
 
 
@@ -97,7 +97,7 @@ def cuts(text: str, limit: int, overlap: int = 0, least: float = 0.5, sizes: np.
 
 def _joined(text: str, at: int) -> bool:
     """Whether a cut at ``at`` would part a composed character."""
-    return at < len(text) and (unicodedata.combining(text[at]) != 0 or unicodedata.category(text[at]) in ("Mn", "Me", "Mc") or text[at] in "‍️" or text[at - 1] == "‍" or "🏻" <= text[at] <= "🏿")
+    return at < len(text) and (unicodedata.combining(text[at]) != 0 or unicodedata.category(text[at]) in ("Mn", "Me", "Mc") or text[at] in "\u200d\ufe0f" or text[at - 1] == "\u200d" or "🏻" <= text[at] <= "🏿")
 
 
 def split_texts(df: DataFrame, text: str, keep: Sequence[str], limit: int = 4000, overlap: int = 200, only_oversized: bool = True, part_bytes: int = 4 << 20) -> DataFrame:
