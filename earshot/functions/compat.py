@@ -96,6 +96,11 @@ def query_value(text: Column) -> Column:
     return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
 
 
+def base64_line(data: Column) -> Column:
+    """Base64 in one line."""
+    return F.translate(F.base64(data), "\r\n", "")
+
+
 def line_of(name: Column, text: Column) -> Column:
     """``[Name] text``."""
     return F.concat(F.lit("["), name, F.lit("] "), text)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import general, podcast
+from . import feeds, general, podcast, streams
 
-QUERIES = {**general.QUERIES, **podcast.QUERIES}
-SQL = {**general.SQL, **podcast.SQL}
+QUERIES = {**general.QUERIES, **feeds.QUERIES, **podcast.QUERIES, **streams.QUERIES}
+SQL = {**general.SQL, **feeds.SQL, **podcast.SQL, **streams.SQL}
 FLAGSHIP = "flagship_fallback_pipeline"
