@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import interval_join
+
 #: Kinds of segments that don't go into the graph.
 NOT_IN_GRAPH = ["promotion", "credits", "sound-only"]
 
@@ -35,11 +37,14 @@ def repair_chapters(chapters: DataFrame, lengths: DataFrame, order: str, least_m
 
 
 def midpoint_chapter(segments: DataFrame, chapters: DataFrame, segment: str, chapter: str) -> DataFrame:
-    """Each segment's chapter: the first by start that holds the segment's middle (its end excluded), else null."""
-    c = chapters.select(F.col("episode_id").alias("_e"), F.col(chapter).alias("_c"), F.col("start_ms").alias("_a"), F.col("end_ms").alias("_b"))
-    twice = F.col("start_ms") + F.col("end_ms")
-    pairs = segments.join(c, (F.col("episode_id") == F.col("_e")) & (twice >= 2 * F.col("_a")) & (twice < 2 * F.col("_b")), "left")
-    return pairs.groupBy(*segments.columns).agg(F.min(F.struct("_a", "_c", "_b")).alias("m")).select(*segments.columns, F.col("m._c").alias(chapter), F.col("m._a").alias("chapter_start_ms"), F.col("m._b").alias("chapter_end_ms"))
+    """Each segment's chapter: the first by start that holds the segment's middle (its end excluded), else null. Segments need unique identifiers."""
+    # Twice the middle is a whole number; segments and chapters meet in slices of time.
+    twice = (F.col("start_ms") + F.col("end_ms")).alias("start_ms")
+    points = segments.select("episode_id", segment, twice, twice.alias("end_ms"))
+    ranges = chapters.select("episode_id", F.col(chapter).alias("_c"), F.col("start_ms").alias("_a"), F.col("end_ms").alias("_b"), (2 * F.col("start_ms")).alias("a_ms"), (2 * F.col("end_ms")).alias("b_ms"))
+    pairs = interval_join(points, ranges, "episode_id", "start_in", 1_200_000)
+    first = pairs.groupBy(segment).agg(F.min(F.struct("_a", "_c", "_b")).alias("m"))
+    return segments.join(first, segment, "left").select(*segments.columns, F.col("m._c").alias(chapter), F.col("m._a").alias("chapter_start_ms"), F.col("m._b").alias("chapter_end_ms"))
 
 
 def clamp_segments(placed: DataFrame) -> DataFrame:

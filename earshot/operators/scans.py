@@ -34,3 +34,19 @@ def running_sum(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[
 def ordinals(df: DataFrame, keys: Sequence[str], block: str, order: Sequence[Column | str], name: str = "ord") -> DataFrame:
     """``df`` with each row's place, from 0, in its key's order."""
     return running_sum(df, keys, block, order, F.lit(1).cast("bigint"), name, inclusive=False)
+
+
+def lagged(df: DataFrame, keys: Sequence[str], block: str, order: str, column: str, name: str) -> DataFrame:
+    """``df`` with the value that ``column`` has in the key's row before, null for a key's first row.
+
+    ``order`` must be unique within a key. As in :func:`running_sum`, a key is sorted block by block;
+    a block's first row gets the last value of the block before it.
+    """
+    last = df.groupBy(*keys, block).agg(F.max_by(F.struct(F.col(column).alias("v")), order).alias("_l"))
+    last = last.select(*[F.col(c).alias(f"_k_{c}") for c in (*keys, block)], F.lag("_l").over(Window.partitionBy(*keys).orderBy(block)).alias("_before"))
+    condition = F.lit(True)
+    for c in (*keys, block):
+        condition = condition & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    inside = Window.partitionBy(*keys, block).orderBy(order)
+    within = F.lag(F.struct(F.col(column).alias("v"))).over(inside)
+    return df.join(last, condition).withColumn(name, F.coalesce(within, F.col("_before"))["v"]).drop("_before", *[f"_k_{c}" for c in (*keys, block)])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.compat import clamp, clock_ms, cut, half_up, line_of, minutes_label, present
-from .scans import ordinals
+from .scans import lagged, ordinals, running_sum
 
 STRETCH_MS = 1_800_000
 
@@ -96,17 +96,19 @@ def actual_ranges(ranges: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
 _CHUNK = T.StructType([T.StructField("episode_id", T.StringType()), T.StructField("first_ord", T.LongType()), T.StructField("label", T.StringType()), T.StructField("start_ms", T.LongType()), T.StructField("end_ms", T.LongType()), T.StructField("n_lines", T.LongType()), T.StructField("text", T.StringType())])
 
 
-def speaker_chunks(rows: DataFrame, limit: int = 4000) -> DataFrame:
+def speaker_chunks(rows: DataFrame, limit: int = 4000, block: int = 10_000) -> DataFrame:
     """Consecutive utterances of one speaker as chunks of ``label: text`` lines, about ``limit`` characters at most.
 
     A new chunk begins with the first utterance, with another speaker, and where the chunk's length
     and the line's together exceed the limit (the line break isn't counted in that check); so a
     single longer line is a chunk of its own. The fold starts anew with each speaker, so runs of one
-    speaker are what is distributed, and within a task rows are folded as they stream by.
+    speaker are what is distributed, and within a task rows are folded as they stream by; the runs
+    themselves are found in blocks of ``block`` utterances.
     """
-    w = Window.partitionBy("episode_id").orderBy("ord")
-    change = F.coalesce(F.lag("label").over(w) != F.col("label"), F.lit(True))
-    runs = rows.withColumn("_run", F.sum(change.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    blocks = rows.withColumn("_block", F.floor(F.col("ord") / block))
+    before = lagged(blocks, ["episode_id"], "_block", "ord", "label", "_previous")
+    change = (~F.col("_previous").eqNullSafe(F.col("label"))).cast("bigint")
+    runs = running_sum(before, ["episode_id"], "_block", ["ord"], change, "_run")
     ordered = runs.select("episode_id", "_run", "ord", "label", "text", "start_ms", "end_ms").repartition(F.col("episode_id"), F.col("_run")).sortWithinPartitions("episode_id", "_run", "ord")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

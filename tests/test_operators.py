@@ -99,6 +99,11 @@ def test_running_sum(spark):
         total[k] = total.get(k, 0) + (v or 0)
         assert got[i] == total[k]
     assert scans.ordinals(df.limit(0), ["k"], "b", ["i"]).count() == 0
+    previous = {r.i: r.p for r in scans.lagged(df, ["k"], "b", "i", "v", "p").collect()}
+    last = {}
+    for k, i, v in rows:
+        assert previous[i] == last.get(k)
+        last[k] = v
 
 
 def utterance_rows(spark, rows):
