@@ -110,17 +110,19 @@ def line_of(name: Column, text: Column) -> Column:
 
 
 def clock_ms(text: Column) -> Column:
-    """Milliseconds of a time written as seconds ("12.5", "12,5", " 3.1s") or as a clock ("1:02:03.5"); null if unreadable."""
-    bare = F.regexp_replace(F.regexp_replace(text, r"^\s+|\s*s?\s*$", ""), ",", ".")
+    """Milliseconds of a time written as seconds ("12.5", "12,5", " 3.1s") or as a clock ("1:02:03.5"); null if unreadable.
+
+    A plain number, which most times are, is cast at once; only other texts go through patterns.
+    """
+    half = F.lit("0.5").cast("decimal(2,1)")
+    ms = lambda number: F.floor(number.try_cast("decimal(18,6)") * 1000 + half).cast("bigint")
+    bare = F.regexp_replace(F.translate(text, ",", "."), r"^\s+|\s*s?\s*$", "")
     parts = F.split(bare, ":")
     n = F.size(parts)
-    half = F.lit("0.5").cast("decimal(2,1)")
-    last = F.try_element_at(parts, F.lit(-1)).try_cast("decimal(18,6)")
-    minutes = F.coalesce(F.try_element_at(parts, F.lit(-2)).try_cast("bigint"), F.when(n < 2, F.lit(0)))
+    minutes = F.try_element_at(parts, F.lit(-2)).try_cast("bigint")
     hours = F.coalesce(F.try_element_at(parts, F.lit(-3)).try_cast("bigint"), F.when(n < 3, F.lit(0)))
-    total = F.floor(last * 1000 + half).cast("bigint") + minutes * 60_000 + hours * 3_600_000
-    simple = bare.rlike(r"^-?\d{1,9}(?:\.\d+)?$")
-    return F.when(simple, F.floor(bare.try_cast("decimal(18,6)") * 1000 + half).cast("bigint")).when(bare.rlike(r"^\d+(?::\d+){1,2}(?:\.\d+)?$"), total)
+    clock = ms(F.try_element_at(parts, F.lit(-1))) + minutes * 60_000 + hours * 3_600_000
+    return F.coalesce(ms(text), F.when(bare.rlike(r"^\d+(?::\d+){1,2}(?:\.\d+)?$"), clock), F.when(bare.rlike(r"^-?\d{1,9}(?:\.\d+)?$"), ms(bare)))
 
 
 def minutes_label(seconds: Column) -> Column:
