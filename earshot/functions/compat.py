@@ -114,8 +114,11 @@ def clock_ms(text: Column) -> Column:
 
     A plain number, which most times are, is cast at once; only other texts go through patterns.
     """
-    half = F.lit("0.5").cast("decimal(2,1)")
-    ms = lambda number: F.floor(number.try_cast("decimal(18,6)") * 1000 + half).cast("bigint")
+
+    def ms(number: Column) -> Column:
+        seconds = number.try_cast("double")
+        return F.when(F.abs(seconds) < 1e12, F.floor(seconds * 1000 + 0.5).cast("bigint"))
+
     bare = F.regexp_replace(F.translate(text, ",", "."), r"^\s+|\s*s?\s*$", "")
     parts = F.split(bare, ":")
     n = F.size(parts)
