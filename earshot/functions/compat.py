@@ -119,13 +119,10 @@ def clock_ms(text: Column) -> Column:
         seconds = number.try_cast("double")
         return F.when(F.abs(seconds) < 1e12, F.floor(seconds * 1000 + 0.5).cast("bigint"))
 
-    bare = F.regexp_replace(F.translate(text, ",", "."), r"^\s+|\s*s?\s*$", "")
-    parts = F.split(bare, ":")
-    n = F.size(parts)
-    minutes = F.try_element_at(parts, F.lit(-2)).try_cast("bigint")
-    hours = F.coalesce(F.try_element_at(parts, F.lit(-3)).try_cast("bigint"), F.when(n < 3, F.lit(0)))
-    clock = ms(F.try_element_at(parts, F.lit(-1))) + minutes * 60_000 + hours * 3_600_000
-    return F.coalesce(ms(text), F.when(bare.rlike(r"^\d+(?::\d+){1,2}(?:\.\d+)?$"), clock), F.when(bare.rlike(r"^-?\d{1,9}(?:\.\d+)?$"), ms(bare)))
+    # One small expression for the rest: generated code that grows too large isn't compiled.
+    bare = F.regexp_extract(F.translate(text, ",", "."), r"^\s*((?:\d{1,9}:){0,2}\d{1,9}(?:\.\d*)?|-\d{1,9}(?:\.\d*)?)\s*s?\s*$", 1)
+    folded = F.aggregate(F.split(bare, ":"), F.lit(0.0), lambda total, part: total * 60 + part.try_cast("double"))
+    return F.coalesce(ms(text), F.floor(folded * 1000 + 0.5).cast("bigint"))
 
 
 def minutes_label(seconds: Column) -> Column:
