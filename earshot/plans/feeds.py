@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import compat as K
 from ..operators import feeds as E
+from ..operators import jobs as J
 from ..operators.chapters import stable_id
 from ..operators.joins import first_match
 from ..operators.models import palette_roles as roles
@@ -375,12 +376,62 @@ def speaker_map(spark: SparkSession, folder: str) -> DataFrame:
 SPEAKER_MAP = """WITH l AS (SELECT episode_id, speaker_id, arg_max(struct_pack(name := speaker_name, role := speaker_role), coalesce(speaker_name, '')) s FROM episode_speakers GROUP BY ALL)
 SELECT episode_id, count(*) AS n, string_agg(speaker_id || '=' || coalesce(s.name, '') || '/' || coalesce(s.role, ''), '; ' ORDER BY speaker_id) AS speakers FROM l GROUP BY ALL"""
 
+_NOW_MS = 1_700_000_000_000
+
+
+def job_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests to transcode and to transcribe the audio of every episode."""
+    rows = J.job_requests(_latest_episodes(spark, folder), F.lit(_NOW_MS))
+    return rows.select("episode_id", "kind", "name", "input", "output", F.array_join(F.transform(F.map_entries("settings"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("settings"))
+
+
+JOBS = f"""WITH {_LATEST}, k(kind, settings) AS (VALUES ('transcode', 'segment_seconds=10;bitrate=128000;sample_rate=48000;codec=AAC'), ('transcribe', 'language=en-US;max_speakers=10'))
+SELECT episode_id, kind, kind || '-' || split_part(episode_id, '-', 1) || '-{_NOW_MS}' AS name, 'raw/' || audio_media_id AS input, 'processed/' || audio_media_id || '/' AS output, settings FROM le, k WHERE audio_media_id IS NOT NULL"""
+
+
+def _job_events(spark: SparkSession, folder: str) -> DataFrame:
+    kind = F.col("event_type")
+    job = F.when(kind.isin("click", "error"), F.lit("transcode")).otherwise(F.lit("transcribe"))
+    status = F.when(kind == "error", F.lit("ERROR")).when(kind.isin("click", "purchase"), F.lit("COMPLETE")).otherwise(F.lit("PROGRESSING"))
+    return table(spark, folder, "events").select(F.col("user_id").cast("string").alias("episode_id"), job.alias("job"), status.alias("status"), "ts", F.col("event_id").alias("seq"))
+
+
+def completion_last(spark: SparkSession, folder: str) -> DataFrame:
+    """States by the last terminal event."""
+    return J.completion(_job_events(spark, folder))
+
+
+def completion_strict(spark: SparkSession, folder: str) -> DataFrame:
+    """States by the last terminal event of both jobs."""
+    return J.completion(_job_events(spark, folder), strict=True)
+
+
+COMPLETION_LAST = "SELECT user_id::VARCHAR AS episode_id, arg_max(CASE WHEN event_type = 'purchase' THEN 'complete' ELSE 'failed' END, struct_pack(a := ts, b := event_id)) AS status FROM events WHERE event_type IN ('purchase', 'error') GROUP BY ALL"
+COMPLETION_STRICT = """WITH l AS (SELECT user_id::VARCHAR AS episode_id, arg_max(event_type = 'click', struct_pack(a := ts, b := event_id)) FILTER (WHERE event_type IN ('click', 'error')) AS a, arg_max(true, struct_pack(a := ts, b := event_id)) FILTER (WHERE event_type = 'purchase') AS b
+  FROM events WHERE event_type IN ('click', 'error', 'purchase') GROUP BY ALL)
+SELECT episode_id, CASE WHEN a AND b THEN 'complete' WHEN (a IS NULL AND coalesce(b, true)) OR (b IS NULL AND coalesce(a, true)) THEN 'waiting' ELSE 'failed' END AS status FROM l"""
+
+
+def graph_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Each episode's graph identifiers in order, as a store answers: a job's, the record's own, or none."""
+    rows = first_match(table(spark, folder, "segment_results"), ["result_segment_id"], ["created_at", "start_sec", "end_sec", "segment_type"])
+    n = F.octet_length("result_segment_id") + F.ascii(F.right("result_segment_id", F.lit(1)))
+    answer = F.struct(F.when(n % 3 == 0, F.concat(F.lit("job-"), F.col("result_segment_id"))).alias("job_id"), F.when(n % 3 == 1, F.col("result_segment_id")).otherwise(F.lit("")).alias("id"))
+    records = rows.select("episode_id", "result_segment_id", J.graph_id(answer, "segment", F.col("result_segment_id")).alias("id"))
+    return J.ids_in_order(records, "episode_id", "result_segment_id", "id").select("episode_id", F.array_join("ids", ",").alias("ids"))
+
+
+GRAPH_IDS = """WITH r AS (SELECT DISTINCT ON (result_segment_id) result_segment_id, episode_id FROM segment_results ORDER BY result_segment_id, created_at, start_sec, end_sec, segment_type),
+i AS (SELECT *, (strlen(result_segment_id) + ascii(right(result_segment_id, 1))) % 3 AS n FROM r)
+SELECT episode_id, string_agg(CASE n WHEN 0 THEN 'job-' || result_segment_id WHEN 1 THEN result_segment_id ELSE 'segment-' || result_segment_id END, ',' ORDER BY result_segment_id) AS ids FROM i GROUP BY ALL"""
+
 QUERIES = {
     "feed_item_projection": feed_item_projection, "feed_xml_scan": feed_xml_scan, "series_projection": series_projection, "feed_cutoff_filter": feed_cutoff_filter, "validation_routes": validation_routes,
     "episode_latest_status": episode_latest_status, "episode_upsert": episode_upsert, "enqueue_messages": enqueue_messages, "run_counters": run_counters, "media_rows": media_rows, "url_extension_mime": url_extension_mime,
     "job_event_resolution": job_event_resolution, "message_entity_join": message_entity_join, "entity_lookup_first": entity_lookup_first, "episode_series_join": episode_series_join, "children_census": children_census,
     "status_tally": status_tally, "cascade_delete": cascade_delete, "requeue_all": requeue_all, "event_latest_status": event_latest_status, "event_json": event_json, "text_functions": text_functions, "math_functions": math_functions,
     "image_request_parse": image_request_parse, "palette_roles": palette_roles, "category_flatten": category_flatten, "blob_fallback": blob_fallback, "speaker_map": speaker_map,
+    "job_requests": job_requests, "completion_last": completion_last, "completion_strict": completion_strict, "graph_ids": graph_ids,
 }
 SQL = {
     "feed_item_projection": ITEMS, "feed_xml_scan": XML, "series_projection": SERIES, "feed_cutoff_filter": CUTOFF, "validation_routes": ROUTES,
@@ -388,4 +439,5 @@ SQL = {
     "job_event_resolution": RESOLUTION, "message_entity_join": ENTITY, "entity_lookup_first": LOOKUP, "episode_series_join": SERIES_JOIN, "children_census": CENSUS,
     "status_tally": TALLY, "cascade_delete": CASCADE, "requeue_all": REQUEUE, "event_latest_status": EVENT_STATUS, "event_json": EVENT_JSON, "text_functions": TEXTS, "math_functions": MATH,
     "image_request_parse": IMAGES, "palette_roles": PALETTE, "category_flatten": CATEGORIES, "blob_fallback": BLOBS, "speaker_map": SPEAKER_MAP,
+    "job_requests": JOBS, "completion_last": COMPLETION_LAST, "completion_strict": COMPLETION_STRICT, "graph_ids": GRAPH_IDS,
 }

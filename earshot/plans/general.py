@@ -21,7 +21,7 @@ def p1_lengths(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Feed items whose length is stated otherwise than by a plain whole number of seconds."""
-    plain = F.col("itunes_duration").rlike("^[0-9]+$") & (F.col("length_unit") == "s")
+    plain = F.col("itunes_duration").rlike(r"^[0-9]+\z") & (F.col("length_unit") == "s")
     return p1_lengths(spark, folder).where(F.col("length_ms").isNotNull() & ~plain).select("item_row_id", F.col("length_ms").alias("duration_ms"))
 
 

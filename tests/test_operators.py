@@ -10,9 +10,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from earshot.functions import compat as K
-from earshot.operators import chapters, feeds, models, scans, transcripts
+from earshot.operators import chapters, feeds, jobs, models, scans, transcripts
 from earshot.operators.texts import greedy_pieces
-from earshot.sources import media
+from earshot.sources import media, sinks
 
 
 def values(spark, column, rows, schema="x string"):
@@ -188,3 +188,35 @@ def test_categories(spark):
 def test_blobs(spark, tmp_path, stem):
     (tmp_path / f"{stem}.bin").write_bytes(b"12")
     assert media.blobs(spark, str(tmp_path)).select("length").first()[0] == 2
+
+
+def test_completion(spark):
+    rows = [("a", "transcode", "ERROR", 1, 1), ("a", "transcribe", "COMPLETED", 2, 2), ("b", "transcribe", "COMPLETED", 1, 3), ("b", "transcode", "error", 2, 4), ("c", "transcode", "COMPLETE", 1, 5), ("c", "transcribe", "IN_PROGRESS", 2, 6), ("d", "transcode", "COMPLETE", 3, 7), ("d", "transcribe", "COMPLETED", 4, 8)]
+    df = spark.createDataFrame(rows, "episode_id string, job string, status string, ts int, seq int")
+    assert dict(map(tuple, jobs.completion(df).collect())) == {"a": "complete", "b": "failed", "d": "complete"}
+    assert dict(map(tuple, jobs.completion(df, strict=True).collect())) == {"a": "failed", "b": "failed", "c": "waiting", "d": "complete"}
+
+
+def test_responses_and_small_parts(spark):
+    df = spark.createDataFrame([("/image/ab-1.jpg", b"x"), ("/image/ab-1.jpg", None), ("/x", b"x")], "p string, c binary")
+    r = jobs.response(K.image_request(F.col("p"), F.lit(None).cast("string"), F.lit("5")), F.col("c"), F.lit("image/jpeg"))
+    got = [x.r for x in df.select(r.alias("r")).collect()]
+    assert [(x.status, x.body, x.is_base64) for x in got] == [(200, "eA==", True), (404, None, False), (404, None, False)]
+    assert got[0].headers["Content-Type"] == "image/jpeg"
+    doc = [{"id": "1", "start_time": "0", "end_time": "1", "transcript": "t", "speaker_label": "s", "items": [1]}]
+    u = spark.createDataFrame([(json.dumps({"results": {"audio_segments": doc}}),)], "j string").select(F.from_json("j", media.TRANSCRIPT).alias("d"))
+    assert u.select(jobs.without_items(F.col("d.results.audio_segments"))).first()[0][0].asDict().keys() == {"id", "start_time", "end_time", "transcript", "speaker_label"}
+    assert values(spark, jobs.doubled_label(F.lit("spk_0"), F.col("x")), [("spk_0: a",)]) == ["spk_0: spk_0: a"]
+    assert values(spark, jobs.created_at(F.col("x"), F.lit("now")), [("then",), (None,)]) == ["then", "now"]
+
+
+def test_sinks(spark, tmp_path):
+    with pytest.raises(ValueError):
+        sinks.Settings.read({})
+    assert sinks.Settings.read({"EARSHOT_STORE": "s"}).graph is None
+    df = spark.createDataFrame([("q", "e1", None), ("r", "e2", "m")], "queue_name string, episodeId string, audioMediaId string")
+    sinks.publish(df, ["episodeId", "audioMediaId"], str(tmp_path / "out"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).select("value").collect()) == ['{"episodeId":"e1"}', '{"episodeId":"e2","audioMediaId":"m"}']
+    blobs = spark.createDataFrame([("raw/a", b"12"), ("raw/b", None)], "key string, content binary")
+    assert sorted(map(tuple, sinks.write_blobs(blobs, str(tmp_path / "store")).collect())) == [("raw/a", 2), ("raw/b", None)]
+    assert (tmp_path / "store" / "raw" / "a").read_bytes() == b"12"
