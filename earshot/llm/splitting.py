@@ -136,8 +136,8 @@ def covered_texts(utterances: DataFrame, ranges: DataFrame, limit: int = 4000, s
 
     ``utterances``: group_id, utterance_id, start_ms, end_ms, text; ``ranges``: group_id, range_id,
     start_ms, end_ms. A range covers the utterances of its group that start at or after its start
-    and end at or before its end; each utterance_id counts once, null and empty texts don't, texts
-    are joined by one blank in the order of start, end and utterance_id. Ranges with a null bound or
+    and end at or before its end; each utterance_id counts once (its copies are equal), null and
+    empty texts don't, texts are joined by one blank in the order of start, end and utterance_id. Ranges with a null bound or
     an end not after the start are none; a range_id that occurs again is the same range.
 
     Utterances and ranges meet in slices of time, so a group with a large part of all rows is many
@@ -150,7 +150,7 @@ def covered_texts(utterances: DataFrame, ranges: DataFrame, limit: int = 4000, s
     said = utterances.where("group_id IS NOT NULL AND start_ms IS NOT NULL AND end_ms IS NOT NULL AND text <> ''").withColumn("slice", F.expr(f"CAST(floor(start_ms / {slice_ms}) AS BIGINT)"))
     inside = (F.col("g") == F.col("group_id")) & (F.col("sl") == F.col("slice")) & (F.col("start_ms") >= F.col("a")) & (F.col("end_ms") <= F.col("b"))
     small = said.select("group_id", "slice", "start_ms", "end_ms", "utterance_id", F.char_length("text").alias("n"))
-    single = small.groupBy("group_id", "slice", "utterance_id").agg(F.min(F.struct("start_ms", "end_ms", "n")).alias("u")).select("group_id", "slice", "utterance_id", "u.*")
+    single = small.groupBy("group_id", "slice", "utterance_id").agg(*[F.min(c).alias(c) for c in ("start_ms", "end_ms", "n")])
     lengths = single.join(sliced, inside).groupBy("range_id", "g", "a", "b").agg((F.sum("n") + F.count(F.lit(1)) - 1).alias("length"))
     long = lengths.where(F.col("length") > limit).select("range_id", "g", "a", "b")
     # Few ranges are left; each needs the texts of its own slices only.
