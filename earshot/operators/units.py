@@ -62,7 +62,8 @@ def _read(kbit: tuple[float, float], least_bytes: int, usual_ms: tuple[int, int]
                     rows.append((chosen.ms, chosen.unit, told, _shape(t), None if told else {r.unit: r.ms for r in reversed(options) if usual_ms[0] <= r.ms <= usual_ms[1]}))
             yield pd.DataFrame(rows, columns=["ms", "unit", "told", "shape", "others"])
 
-    return read
+    # Otherwise the optimizer copies the call into every filter and projection above it.
+    return read.asNondeterministic()
 
 
 def lengths(
