@@ -148,11 +148,13 @@ def feed_date(text: Column) -> Column:
 
 # ---- addresses
 
-# File types by extension and by content type.
-AUDIO_TYPES = {"mp3": "audio/mpeg", "m4a": "audio/mp4", "aac": "audio/aac", "ogg": "audio/ogg", "wav": "audio/wav", "flac": "audio/flac"}
-AUDIO_EXTENSIONS = {"audio/mpeg": "mp3", "audio/mp3": "mp3", "audio/mp4": "m4a", "audio/x-m4a": "m4a", "audio/aac": "aac", "audio/ogg": "ogg", "audio/wav": "wav", "audio/x-wav": "wav", "audio/flac": "flac"}
-IMAGE_TYPES = {"jpg": "image/jpeg", "png": "image/png", "webp": "image/webp", "gif": "image/gif"}
-IMAGE_EXTENSIONS = {"image/jpeg": "jpg", "image/jpg": "jpg", "image/png": "png", "image/webp": "webp", "image/gif": "gif"}
+# Extensions that an address may have, and the extensions of content types.
+AUDIO_EXTENSIONS = ["mp3", "m4a", "wav", "ogg", "aac", "flac"]
+AUDIO_TYPES = {"audio/mpeg": "mp3", "audio/mp3": "mp3", "audio/mp4": "m4a", "audio/x-m4a": "m4a", "audio/wav": "wav", "audio/ogg": "ogg", "audio/aac": "aac", "audio/flac": "flac"}
+IMAGE_EXTENSIONS = ["jpg", "jpeg", "png", "gif", "webp", "svg"]
+IMAGE_TYPES = {"image/jpeg": "jpg", "image/jpg": "jpg", "image/png": "png", "image/gif": "gif", "image/webp": "webp", "image/svg+xml": "svg"}
+# Content types of pictures' extensions.
+IMAGE_MIME = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "webp": "image/webp", "svg": "image/svg+xml"}
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
@@ -160,20 +162,19 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
 
 
 def file_extension(url: Column, content_type: Column, kind: str = "audio") -> Column:
-    """The extension of the file at an address: its path's if that is a known one, else by content type, else mp3 or jpg."""
-    types, extensions, default = (AUDIO_TYPES, AUDIO_EXTENSIONS, "mp3") if kind == "audio" else (IMAGE_TYPES, IMAGE_EXTENSIONS, "jpg")
-    path = F.try_parse_url(url, F.lit("PATH"))
-    last = F.lower(F.when(F.contains(path, F.lit(".")), F.substring_index(path, ".", -1)))
-    if kind == "image":
-        last = F.when(last == "jpeg", F.lit("jpg")).otherwise(last)
-    bare_type = F.lower(F.trim(F.substring_index(content_type, ";", 1)))
-    return F.coalesce(F.when(last.isin(*types), last), _lookup(extensions, bare_type), F.lit(default))
-
-
-def mime_type(extension: Column, kind: str = "audio") -> Column:
-    """The content type of an extension."""
-    types = AUDIO_TYPES if kind == "audio" else IMAGE_TYPES
-    return F.coalesce(_lookup(types, F.lower(extension)), F.lit("audio/mpeg" if kind == "audio" else "image/jpeg"))
+    """The extension of the file at an address: its path's if that is a known one, else by content type, else mp3 or jpg.
+
+    An address that can't be read counts as one without an extension.
+    """
+    known, types, default = (AUDIO_EXTENSIONS, AUDIO_TYPES, "mp3") if kind == "audio" else (IMAGE_EXTENSIONS, IMAGE_TYPES, "jpg")
+    last = F.lower(F.substring_index(F.try_parse_url(url, F.lit("PATH")), ".", -1))
+    own = F.when(last == "jpeg", F.lit("jpg")).when(last.isin(known), last)
+    return F.coalesce(own if kind == "image" else F.when(last.isin(known), last), _lookup(types, content_type), F.lit(default))
+
+
+def image_mime(extension: Column) -> Column:
+    """The content type of a picture's extension, JPEG for an unknown one."""
+    return F.coalesce(_lookup(IMAGE_MIME, F.lower(extension)), F.lit("image/jpeg"))
 
 
 def image_request(path: Column, width: Column, height: Column) -> Column:

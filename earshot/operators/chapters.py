@@ -9,14 +9,17 @@ from .joins import interval_join
 
 #: Kinds of segments that don't go into the graph.
 NOT_IN_GRAPH = ["promotion", "credits", "sound-only"]
+#: Type, title and summary of the chapters of an episode without any.
+DEFAULT_CHAPTERS = [("introduction", "Introduction", "Episode introduction"), ("section", "Main Content", "Main episode content"), ("credits", "Closing", "Episode conclusion and credits")]
 
 
 def default_chapters(lengths: DataFrame) -> DataFrame:
     """Introduction, main part and end of an episode without chapters: the first and last minute, or tenth if that is shorter."""
     d = F.col("duration_ms")
     intro, end = F.least(F.lit(60_000), F.floor(d * 0.1)).cast("bigint"), F.greatest(d - 60_000, F.ceil(d * 0.9)).cast("bigint")
-    part = lambda i, kind, a, b: F.struct(F.lit(i).cast("bigint").alias("chapter"), F.lit(kind).alias("chapter_type"), a.alias("start_ms"), b.alias("end_ms"))
-    return lengths.where(d.isNotNull()).select("episode_id", F.inline(F.array(part(0, "introduction", F.lit(0).cast("bigint"), intro), part(1, "section", intro, end), part(2, "credits", end, d))))
+    bounds = [(F.lit(0).cast("bigint"), intro), (intro, end), (end, d)]
+    parts = [F.struct(F.lit(i).cast("bigint").alias("chapter"), F.lit(kind).alias("chapter_type"), F.lit(title).alias("title"), F.lit(text).alias("summary"), a.alias("start_ms"), b.alias("end_ms")) for i, ((kind, title, text), (a, b)) in enumerate(zip(DEFAULT_CHAPTERS, bounds, strict=True))]
+    return lengths.where(d.isNotNull()).select("episode_id", F.inline(F.array(*parts)))
 
 
 def repair_chapters(chapters: DataFrame, lengths: DataFrame, order: str, least_ms: int = 10_000) -> DataFrame:

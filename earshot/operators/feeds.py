@@ -10,6 +10,9 @@ from pyspark.sql import types as T
 
 from ..functions.compat import feed_date, first_present, leading_int, plain_duration, present
 
+# What an item without a title is called.
+UNTITLED = "Untitled Episode"
+
 #: A feed's item as its XML has it.
 ITEM = T.StructType(
     [
@@ -41,12 +44,29 @@ def flatten_categories(categories: Column, depth: int = 4) -> Column:
     return F.flatten(F.transform(categories, one))
 
 
-def series_row(title: Column, description: Column, image_url: Column, author: Column, language: Column, series_type: Column, old_title: Column) -> list[Column]:
-    """A series as its feed has it, with the old title where the feed has none."""
-    return [
-        first_present(title, old_title).alias("title"), present(description).alias("description"), present(image_url).alias("image_url"),
-        present(author).alias("author"), present(language).alias("language"), F.when(series_type == "serial", F.lit("serial")).otherwise(F.lit("episodic")).alias("series_type"),
-    ]
+def series_row(feed: Mapping[str, Column], old_title: Column) -> list[Column]:
+    """A series as its feed has it; only the fields that ``feed`` names come out.
+
+    The title falls back to the old one, the description to the summary, the picture to the feed's
+    plain one; no categories are null, not an empty list; explicit is "yes" or "true"; a type that
+    isn't "serial" is "episodic".
+    """
+    get = lambda n: feed.get(n, F.lit(None).cast("string"))
+    made = {
+        "title": lambda: first_present(get("title"), old_title),
+        "description": lambda: first_present(get("description"), get("summary")),
+        "image_url": lambda: first_present(get("itunes_image"), get("image_url")),
+        "categories": lambda: F.when(F.size(feed["categories"]) > 0, feed["categories"]),
+        "explicit": lambda: F.coalesce(feed["explicit"].isin("yes", "true"), F.lit(False)),
+        "series_type": lambda: F.when(feed["series_type"] == "serial", F.lit("serial")).otherwise(F.lit("episodic")),
+    }
+    plain = ("subtitle", "author", "owner_name", "owner_email", "language", "website_url", "copyright", "last_build_date")
+    return [make().alias(n) for n, make in made.items() if n in feed] + [present(feed[n]).alias(n) for n in plain if n in feed]
+
+
+def first_of(values: Column) -> Column:
+    """The first element of what may come once or several times."""
+    return F.get(values, F.lit(0))
 
 
 def episode_row(item: Mapping[str, Column]) -> list[Column]:
@@ -57,7 +77,7 @@ def episode_row(item: Mapping[str, Column]) -> list[Column]:
     """
     return [
         F.coalesce(first_present(item["guid"], item["link"], item["title"]), F.lit("")).alias("guid"),
-        first_present(item["title"], F.lit("Untitled")).alias("title"),
+        first_present(item["title"], F.lit(UNTITLED)).alias("title"),
         present(item["description"]).alias("description"),
         present(item["enclosure_url"]).alias("enclosure_url"),
         present(item["enclosure_type"]).alias("enclosure_type"),

@@ -65,5 +65,5 @@ def palette_roles(swatch) -> list[Column]:
     return [
         pick("vibrant", "light_vibrant", "dark_vibrant").alias("primary_color"),
         pick("dark_muted", "light_muted", "muted").alias("background_color"),
-        pick("muted", "light_vibrant", "dark_muted").alias("secondary_color"),
+        pick("muted", "light_vibrant", "dark_vibrant").alias("secondary_color"),
     ]

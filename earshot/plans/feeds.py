@@ -36,7 +36,7 @@ def feed_item_projection(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("published_at", F.unix_timestamp("published_at"))
 
 
-ITEMS = f"""SELECT item_row_id, coalesce(nullif(guid, ''), nullif(link, ''), nullif(title, ''), '') AS guid, coalesce(nullif(title, ''), 'Untitled') AS title, nullif(content_snippet, '') AS description,
+ITEMS = f"""SELECT item_row_id, coalesce(nullif(guid, ''), nullif(link, ''), nullif(title, ''), '') AS guid, coalesce(nullif(title, ''), 'Untitled Episode') AS title, nullif(content_snippet, '') AS description,
   nullif(enclosure_url, '') AS enclosure_url, nullif(enclosure_type, '') AS enclosure_type, {_INT.format("enclosure_length")} AS enclosure_length, nullif(link, '') AS link, nullif(itunes_image_href, '') AS image_url,
   {_DURATION} AS duration_sec, {_EPOCH.format("pub_date")} AS published_at, {_INT.format("itunes_episode")} AS episode_number, {_INT.format("itunes_season")} AS season_number,
   coalesce(nullif(itunes_episode_type, ''), 'full') AS episode_type, coalesce(itunes_explicit = 'yes', false) AS explicit FROM feed_items"""
@@ -62,11 +62,11 @@ XML = "SELECT item_row_id, trim(guid) AS guid, trim(title) AS title, nullif(trim
 
 def series_projection(spark: SparkSession, folder: str) -> DataFrame:
     """Series as their feeds have them."""
-    c = F.col
-    return table(spark, folder, "podcast_series").select("series_id", *E.series_row(c("title"), c("description"), c("image_url"), c("author"), c("lang_code"), c("series_type"), F.lit("Untitled")))
+    feed = {n: F.col(c) for n, c in {"title": "title", "description": "description", "image_url": "image_url", "author": "author", "language": "lang_code", "series_type": "series_type"}.items()}
+    return table(spark, folder, "podcast_series").select("series_id", *E.series_row(feed, F.lit("an old title")))
 
 
-SERIES = "SELECT series_id, coalesce(nullif(title, ''), 'Untitled') AS title, nullif(description, '') AS description, nullif(image_url, '') AS image_url, nullif(author, '') AS author, nullif(lang_code, '') AS language, CASE WHEN series_type = 'serial' THEN 'serial' ELSE 'episodic' END AS series_type FROM podcast_series"
+SERIES = "SELECT series_id, coalesce(nullif(title, ''), 'an old title') AS title, nullif(description, '') AS description, nullif(image_url, '') AS image_url, nullif(author, '') AS author, nullif(lang_code, '') AS language, CASE WHEN series_type = 'serial' THEN 'serial' ELSE 'episodic' END AS series_type FROM podcast_series"
 
 
 def _cutoffs(spark: SparkSession, folder: str) -> DataFrame:
@@ -114,7 +114,7 @@ def _upserted(spark: SparkSession, folder: str) -> DataFrame:
     keyed = lambda df: df.where("series_id IS NOT NULL AND guid IS NOT NULL AND guid <> ''")
     old = first_match(keyed(_latest_episodes(spark, folder)), ["series_id", "guid"], ["episode_id"]).select("series_id", "guid", "episode_id", "title", "enclosure_url", "enclosure_length", "processing_status", "image_media_id")
     newest = first_match(keyed(table(spark, folder, "feed_items")), ["series_id", "guid"], [F.col("fetched_at").desc(), F.col("item_row_id").desc()])
-    new = newest.select("series_id", "guid", K.first_present(F.col("title"), F.lit("Untitled")).alias("title"), F.col("enclosure_url"), K.leading_int(F.col("enclosure_length")).alias("enclosure_length"))
+    new = newest.select("series_id", "guid", K.first_present(F.col("title"), F.lit(E.UNTITLED)).alias("title"), F.col("enclosure_url"), K.leading_int(F.col("enclosure_length")).alias("enclosure_length"))
     inserted = {"episode_id": stable_id(F.col("_n_series_id"), F.col("_n_guid")), "processing_status": F.lit("pending")}
     return E.upsert(old, new, ["series_id", "guid"], ["title", "enclosure_length"], ["enclosure_url"], inserted)
 
@@ -125,7 +125,7 @@ def episode_upsert(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _UPSERT = f"""{_LATEST}, o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id, guid ORDER BY episode_id) k FROM le WHERE series_id IS NOT NULL AND guid <> '') WHERE k = 1),
-i AS (SELECT series_id, guid, coalesce(nullif(title, ''), 'Untitled') AS title, enclosure_url, {_INT.format("enclosure_length")} AS enclosure_length
+i AS (SELECT series_id, guid, coalesce(nullif(title, ''), 'Untitled Episode') AS title, enclosure_url, {_INT.format("enclosure_length")} AS enclosure_length
   FROM (SELECT *, row_number() OVER (PARTITION BY series_id, guid ORDER BY fetched_at DESC, item_row_id DESC) k FROM feed_items WHERE series_id IS NOT NULL AND guid <> '') WHERE k = 1),
 m AS (SELECT coalesce(o.series_id, i.series_id) AS series_id, coalesce(o.guid, i.guid) AS guid, coalesce(o.episode_id, sha256(i.series_id || '|' || i.guid)) AS episode_id, coalesce(i.title, o.title) AS title,
   CASE WHEN i.guid IS NOT NULL THEN i.enclosure_url ELSE o.enclosure_url END AS enclosure_url, coalesce(i.enclosure_length, o.enclosure_length) AS enclosure_length,
@@ -156,11 +156,12 @@ def media_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Rows for the episodes' audio files: name, type and size."""
     extension = K.file_extension(F.col("enclosure_url"), F.col("enclosure_type"))
     rows = _latest_episodes(spark, folder).where(F.col("audio_media_id").isNotNull()).withColumn("ext", extension)
-    return rows.select("episode_id", F.concat(F.left(F.coalesce(K.present(F.col("title")), F.concat(F.lit("audio-"), F.left("episode_id", F.lit(8)))), F.lit(100)), F.lit("."), F.col("ext")).alias("name"), "ext", K.mime_type(F.col("ext")).alias("mime"), F.round(F.col("enclosure_length") / 1024.0, 3).alias("size_kb"))
+    return rows.select("episode_id", F.concat(F.left(F.coalesce(K.present(F.col("title")), F.concat(F.lit("audio-"), F.left("episode_id", F.lit(8)))), F.lit(100)), F.lit("."), F.col("ext")).alias("name"), "ext", K.first_present(F.col("enclosure_type"), F.lit("audio/mpeg")).alias("mime"), F.round(F.col("enclosure_length") / 1024.0, 3).alias("size_kb"))
 
 
-_EXT = "CASE WHEN lower(regexp_extract(regexp_extract({0}, '^[a-z]+://[^/?#]*([^?#]*)', 1), '\\.([^.]*)$', 1)) IN ('mp3', 'm4a', 'aac', 'ogg', 'wav', 'flac') THEN lower(regexp_extract(regexp_extract({0}, '^[a-z]+://[^/?#]*([^?#]*)', 1), '\\.([^.]*)$', 1)) ELSE coalesce(CASE lower(trim(split_part({1}, ';', 1))) WHEN 'audio/mpeg' THEN 'mp3' WHEN 'audio/mp3' THEN 'mp3' WHEN 'audio/mp4' THEN 'm4a' WHEN 'audio/x-m4a' THEN 'm4a' WHEN 'audio/aac' THEN 'aac' WHEN 'audio/ogg' THEN 'ogg' WHEN 'audio/wav' THEN 'wav' WHEN 'audio/x-wav' THEN 'wav' WHEN 'audio/flac' THEN 'flac' END, 'mp3') END"
-_MIME = "CASE ext WHEN 'm4a' THEN 'audio/mp4' WHEN 'aac' THEN 'audio/aac' WHEN 'ogg' THEN 'audio/ogg' WHEN 'wav' THEN 'audio/wav' WHEN 'flac' THEN 'audio/flac' ELSE 'audio/mpeg' END"
+_PATH = "lower(regexp_extract(regexp_extract({0}, '^[a-z]+://[^/?#]*([^?#]*)', 1), '([^.]*)$', 1))"
+_EXT = f"coalesce(CASE WHEN {_PATH} IN ('mp3', 'm4a', 'wav', 'ogg', 'aac', 'flac') THEN {_PATH} END, CASE {{1}} WHEN 'audio/mpeg' THEN 'mp3' WHEN 'audio/mp3' THEN 'mp3' WHEN 'audio/mp4' THEN 'm4a' WHEN 'audio/x-m4a' THEN 'm4a' WHEN 'audio/wav' THEN 'wav' WHEN 'audio/ogg' THEN 'ogg' WHEN 'audio/aac' THEN 'aac' WHEN 'audio/flac' THEN 'flac' END, 'mp3')"
+_MIME = "coalesce(nullif(enclosure_type, ''), 'audio/mpeg')"
 MEDIA = f"""WITH {_LATEST}, x AS (SELECT *, {_EXT.format("enclosure_url", "enclosure_type")} AS ext FROM le WHERE audio_media_id IS NOT NULL)
 SELECT episode_id, left(coalesce(nullif(title, ''), 'audio-' || left(episode_id, 8)), 100) || '.' || ext AS name, ext, {_MIME} AS mime, round(enclosure_length / 1024.0::DOUBLE, 3) AS size_kb FROM x"""
 
@@ -168,10 +169,10 @@ SELECT episode_id, left(coalesce(nullif(title, ''), 'audio-' || left(episode_id,
 def url_extension_mime(spark: SparkSession, folder: str) -> DataFrame:
     """File type of every enclosure, by its address and content type."""
     rows = table(spark, folder, "feed_items").withColumn("ext", K.file_extension(F.col("enclosure_url"), F.col("enclosure_type")))
-    return rows.select("item_row_id", "ext", K.mime_type(F.col("ext")).alias("mime"))
+    return rows.select("item_row_id", "ext", K.first_present(F.col("enclosure_type"), F.lit("audio/mpeg")).alias("mime"))
 
 
-URLS = f"SELECT item_row_id, ext, {_MIME} AS mime FROM (SELECT item_row_id, {_EXT.format('enclosure_url', 'enclosure_type')} AS ext FROM feed_items)"
+URLS = f"SELECT item_row_id, ext, {_MIME} AS mime FROM (SELECT item_row_id, {_EXT.format('enclosure_url', 'enclosure_type')} AS ext, enclosure_type FROM feed_items)"
 
 
 def _resolved(spark: SparkSession, folder: str) -> DataFrame:
@@ -339,7 +340,7 @@ def _swatch(i: int, n: str) -> str:
 
 
 _S = {n: _swatch(i, n) for i, n in enumerate(["vibrant", "light_vibrant", "dark_vibrant", "muted", "light_muted", "dark_muted"])}
-PALETTE = f"SELECT p_partkey, coalesce({_S['vibrant']}, {_S['light_vibrant']}, {_S['dark_vibrant']}) AS primary_color, coalesce({_S['dark_muted']}, {_S['light_muted']}, {_S['muted']}) AS background_color, coalesce({_S['muted']}, {_S['light_vibrant']}, {_S['dark_muted']}) AS secondary_color FROM part"
+PALETTE = f"SELECT p_partkey, coalesce({_S['vibrant']}, {_S['light_vibrant']}, {_S['dark_vibrant']}) AS primary_color, coalesce({_S['dark_muted']}, {_S['light_muted']}, {_S['muted']}) AS background_color, coalesce({_S['muted']}, {_S['light_vibrant']}, {_S['dark_vibrant']}) AS secondary_color FROM part"
 
 
 def category_flatten(spark: SparkSession, folder: str) -> DataFrame:

@@ -124,8 +124,8 @@ def default_chapters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 DEFAULTS = f"""WITH {_U}, x AS (SELECT episode_id, duration_ms, CAST(least(60000, floor(duration_ms * 0.1)) AS BIGINT) a, CAST(greatest(duration_ms - 60000, ceil(duration_ms * 0.9)) AS BIGINT) b FROM d)
-SELECT episode_id, 0::BIGINT AS chapter, 'introduction' AS chapter_type, 0::BIGINT AS start_ms, a AS end_ms FROM x
-UNION ALL SELECT episode_id, 1, 'section', a, b FROM x UNION ALL SELECT episode_id, 2, 'credits', b, duration_ms FROM x"""
+SELECT episode_id, 0::BIGINT AS chapter, 'introduction' AS chapter_type, 'Introduction' AS title, 'Episode introduction' AS summary, 0::BIGINT AS start_ms, a AS end_ms FROM x
+UNION ALL SELECT episode_id, 1, 'section', 'Main Content', 'Main episode content', a, b FROM x UNION ALL SELECT episode_id, 2, 'credits', 'Closing', 'Episode conclusion and credits', b, duration_ms FROM x"""
 
 
 def chapter_repair(spark: SparkSession, folder: str) -> DataFrame:

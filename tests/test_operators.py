@@ -34,9 +34,14 @@ def test_scalar_functions(spark):
     dates = [("Fri, 01 Apr 2022 13:55:16 -0500",), ("01 Apr 2022 13:55:16 GMT",), ("2021-01-12T10:55:16Z",), ("yesterday",), ("2021-13-02",), (None,), ("",)]
     got = values(spark, F.unix_timestamp(K.feed_date(F.col("x"))), dates)
     assert got == [int(datetime(2022, 4, 1, 18, 55, 16, tzinfo=timezone.utc).timestamp()), int(datetime(2022, 4, 1, 13, 55, 16, tzinfo=timezone.utc).timestamp()), int(datetime(2021, 1, 12, 10, 55, 16, tzinfo=timezone.utc).timestamp()), None, None, None, None]
-    urls = [("https://a.b/c.m4a?x=1.mp3", None), ("https://a.b/c", "audio/ogg; q=1"), ("not a url", None), (None, None), ("https://a.b/c.MP3", "audio/ogg")]
+    urls = [("https://a.b/c.m4a?x=1.mp3", None), ("https://a.b/c", "audio/ogg"), ("not a url", None), (None, None), ("https://a.b/c.MP3", "audio/ogg")]
     assert values(spark, K.file_extension(F.col("u"), F.col("t")), urls, "u string, t string") == ["m4a", "ogg", "mp3", "mp3", "mp3"]
     assert values(spark, K.file_extension(F.col("u"), F.col("t"), "image"), [("https://a.b/c.jpeg", None), ("https://a.b/", "image/webp")], "u string, t string") == ["jpg", "webp"]
+    assert values(spark, K.image_mime(F.col("x")), [("png",), ("bmp",), ("svg",)]) == ["image/png", "image/jpeg", "image/svg+xml"]
+    feed = {n: F.col(n) for n in ("title", "summary", "description", "explicit", "categories", "series_type", "author")}
+    row = spark.createDataFrame([("", "sum", "", "true", [], "other", "")], "title string, summary string, description string, explicit string, categories array<string>, series_type string, author string").select(*feeds.series_row(feed, F.lit("old"))).first()
+    assert row.asDict() == {"title": "old", "description": "sum", "categories": None, "explicit": True, "series_type": "episodic", "author": None}
+    assert spark.range(1).select(feeds.first_of(F.array(F.lit("a"), F.lit("b"))), feeds.first_of(F.array().cast("array<string>"))).first()[:] == ("a", None)
     w, h = K.fit_inside(F.col("w"), F.col("h"), F.lit(100.0), F.lit(100.0))
     assert [tuple(r) for r in spark.createDataFrame([(200.0, 50.0), (10.0, 10.0)], "w double, h double").select(w, h).collect()] == [(100, 25), (10, 10)]
 
