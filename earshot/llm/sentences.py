@@ -37,7 +37,7 @@ _BRACKETS = "([{（【〔"
 _TITLES = "《〈"
 _MARKS = re.compile("|".join(map(re.escape, dict.fromkeys("".join(_PAIRS) + "".join(_PAIRS.values())))))
 #: Marks at the head of a line: bullets, times, numbering, a speaker's name.
-_HEAD = re.compile(r"\s*(?:(?:[-*•–—▪·●◦>»]|\d{1,3}[.)]|[a-zA-Z]\))+\s+)?(?:[\[(<@]?\d{1,3}:\d\d(?::\d\d)?(?:[.,]\d+)?[\])>]?\s+(?:[-–—]\s+)?)?(?:>>\s*)?(?:[^\W\d_][\w.'’-]*(?: [^\W\d_][\w.'’-]*){0,2}(?: \d+)?\s?[:：]\s+)?")
+_HEAD = re.compile(r"\s*(?:(?:[-*•–—▪·●◦>»]|\d{1,3}[.)]|[a-zA-Z]\))+\s+)?(?:[\[(<@]?\d{1,3}:\d\d(?::\d\d)?(?:[.,]\d+)?[\])>]?\s+(?:[-–—]\s+)?)?(?:>>\s*)?(?:(?:[^\W\d_]\.|[^\W\d_][\w'’-]*)(?: (?:[^\W\d_]\.|[^\W\d_][\w'’-]*)){0,2}(?: \d+)?\s?[:：]\s+)?")
 _HOST = re.compile(r"[\w-]+(?:\.[\w-]+)+", re.U)
 
 # Abbreviations that stand before what they belong to, so that their point ends no sentence.

@@ -35,6 +35,9 @@ def test_cases(case):
 
 
 def test_empty_and_marks():
+    assert len(sentences("He agreed. Note: it was late.")) == 2
+    assert len(sentences("G. T. Lumurin: It was late.")) == 1
+    assert len(sentences("12. Mai war es.")) == 1
     assert sentences(None) == sentences("") == sentences(" \t\r\n ") == []
     assert sentences(" a\r\n\r\nb ") == [(1, 2), (6, 7)]
     assert sentences(" x y") == [(1, 2), (3, 4)]
