@@ -118,6 +118,8 @@ def _wordless(piece: str) -> bool:
 
 _ABBREVIATION = re.compile(r"((?:[^\W\d_]{1,2}\.\s?)*[^\W\d_][^\W_]*(?:[.-][^\W\d_]+)*|[^\W\d_]°)$")
 _MULTI = re.compile(r"(?:^|[\s(\[“\"«‘„—,;])((?:[^\W\d_]{1,2}\.\s?)+[^\W\d_]{1,2})$")
+_LAST_WORD = re.compile(r"([^\s(\[“\"«‘„»—–,;:]+)$")
+_ORDINAL = re.compile(r"(?:^|\s)([^\W\d_]+)\s+\d{1,2}$")
 _TAIL = 64
 
 
@@ -129,7 +131,7 @@ def _abbreviated(line: str, begin: int, dot: int) -> str | None:
         if parts in _MAYBE:
             return "maybe"
         return "never"
-    m = re.search(r"([^\s(\[“\"«‘„»—–,;:]+)$", head)
+    m = _LAST_WORD.search(head)
     if not m:
         return None
     word = m[1].casefold().lstrip("'’.")
@@ -202,8 +204,8 @@ def _ends(line: str, begin: int, term: int, end: int, quoted: tuple[int, int] |
     if look == "other" and _wordless(word) and (m := _AFTER_SIGNS.match(line, stop)):
         look = _class(m[1])  # signs alone tell nothing
     dash = word[0] in "—–-"
-    strong = kind in _STRONG or any(c in _STRONG for c in run if c in "!?")
-    dense = any(c in _DENSE for c in run)
+    strong = kind in _STRONG or "!" in run or "?" in run
+    dense = kind in _DENSE or (len(run) > 1 and any(c in _DENSE for c in run))
     ellipsis = kind == "…" or run.startswith("..")
     if dense and ellipsis:
         ellipsis = False
@@ -253,32 +255,31 @@ def _ends(line: str, begin: int, term: int, end: int, quoted: tuple[int, int] |
         return look in ("upper", "digit", "host") or (look == "other" and word[0] in "([“\"«‘„»「¿¡")
     if look == "lower":
         return False
-    if look == "upper" and (m := re.search(r"(?:^|\s)([^\W\d_]+)\s+\d{1,2}$", line[max(begin, term - _TAIL) : term])) and m[1].casefold() in _BEFORE_ORDINAL:
+    if look == "upper" and (m := _ORDINAL.search(line[max(begin, term - _TAIL) : term])) and m[1].casefold() in _BEFORE_ORDINAL:
         return False
     return True
 
 
+_THAI = re.compile("[\u0e00-\u0e7f]")
+_BLANKS = re.compile(r"\s+")
+
+
 def _thai(ch: str) -> bool:
     return "฀" <= ch <= "๿"
 
 
 def _line(line: str) -> Iterator[tuple[int, int]]:
     """Sentences of one line without line breaks, as offsets in it."""
-    n = len(line)
-    size = n
-    while size and line[size - 1].isspace():
-        size -= 1
-    begin = 0
-    while begin < size and line[begin].isspace():
-        begin += 1
+    line = line.rstrip()
+    size = len(line)
+    begin = size - len(line.lstrip())
     if begin == size:
         return
-    line = line[:size]
     body = _HEAD.match(line).end()
     if body >= size:
         body = begin
     spans = _spans(line)
-    thai = any(map(_thai, line))
+    thai = _THAI.search(line) is not None
     # Candidates: terminators outside quotations, quotations that end with one, and blanks in Thai.
     marks: list[tuple[int, int, tuple[int, int] | None]] = []
     s = 0
@@ -296,7 +297,7 @@ def _line(line: str) -> Iterator[tuple[int, int]]:
         marks.append((a, b, None))
     if thai:
         s = 0
-        for m in re.compile(r"\s+").finditer(line, body):
+        for m in _BLANKS.finditer(line, body):
             a, b = m.span()
             while s < len(spans) and spans[s][1] <= a:
                 s += 1
