@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.compat import clock_ms
@@ -154,8 +154,9 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     actual = mix.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.sum("copies").cast("bigint").alias("documents"))
     targets = table(spark, folder, "mix_targets").groupBy("source").agg(F.sum("target_weight").alias("target_weight"))
     joined = targets.join(actual, "source", "left").select("source", "target_weight", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"))
-    whole = actual.agg(F.sum("tokens").alias("_all"))  # one row
-    return joined.join(whole, how="left").select("source", "target_weight", (F.lit(total) * F.col("target_weight")).alias("target_tokens"), "tokens", "documents", (F.col("tokens") / F.col("_all")).alias("actual_share"))
+    # One row for each target, of which there are at most 10,000.
+    whole = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
+    return joined.select("source", "target_weight", (F.lit(total) * F.col("target_weight")).alias("target_tokens"), "tokens", "documents", (F.col("tokens") / F.nullif(whole, F.lit(0))).alias("actual_share"))
 
 
 # ---- 8: sentences
