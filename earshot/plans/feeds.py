@@ -316,8 +316,9 @@ MATH = f"""SELECT o_orderkey, o_custkey, CAST(floor(o_totalprice / 7 - 1000 + 0.
 def image_request_parse(spark: SparkSession, folder: str) -> DataFrame:
     """Requests for pictures of every series, good and bad ones."""
     series = table(spark, folder, "podcast_series").where("image_media_id IS NOT NULL").select("image_media_id")
-    forms = spark.createDataFrame([("/image/{}.jpg", "100", "200"), ("/image/{}.JPEG", "0", "x"), ("/image/{}.png", "-1", None), ("/image/{}.webp", "4001", "5"), ("/image/{}.gif", "10", "10"), ("/img/{}.png", None, None), ("/image/{}.png", "4000", "1")], "path string, w string, h string")
-    rows = series.join(F.broadcast(forms))  # seven rows
+    forms = [("/image/{}.jpg", "100", "200"), ("/image/{}.JPEG", "0", "x"), ("/image/{}.png", "-1", None), ("/image/{}.webp", "4001", "5"), ("/image/{}.gif", "10", "10"), ("/img/{}.png", None, None), ("/image/{}.png", "4000", "1")]
+    text = lambda v: F.lit(v).cast("string")
+    rows = series.select("image_media_id", F.inline(F.array(*[F.struct(text(p).alias("path"), text(w).alias("w"), text(h).alias("h")) for p, w, h in forms])))
     r = K.image_request(F.replace("path", F.lit("{}"), F.col("image_media_id")), F.col("w"), F.col("h"))
     return rows.select("image_media_id", "path", "w", r.alias("r")).select("image_media_id", "path", "w", "r.status", "r.id", "r.format", "r.width", "r.height")
 
