@@ -263,10 +263,11 @@ FROM k LEFT JOIN x USING (result_segment_id) LEFT JOIN e ON e.episode_id = k.epi
 
 
 def flagship_fallback_pipeline(spark: SparkSession, folder: str) -> DataFrame:
-    """Transcript processing end to end with a provider that never answers: per episode, what each step gives.
+    """Fallbacks of transcript processing with a provider that never answers: per episode, how much each gives.
 
     Speakers fall back to defaults, chapters to the default three, segments to equal parts of a
-    chapter; the graph gets one record per part with speech.
+    chapter; a record is a part with speech, by the starts of utterances. README says which stages
+    and calls of a model aren't in it.
     """
     rows = _utterances(spark, folder)
     lengths = U.durations(rows)
