@@ -19,7 +19,10 @@ STRETCH_MS = 1_800_000
 
 
 def utterances(segments: DataFrame) -> DataFrame:
-    """Transcript rows as utterances in order: each segment_id once (the first ingested), by start, end and id."""
+    """Transcript rows as utterances in order: each segment_id once (the first ingested), by start, end and id.
+
+    As in the queries' SQL, null is one segment_id: of all rows without an id the first ingested is kept.
+    """
     single = segments.groupBy("segment_id").agg(F.min(F.struct("ingested_at", "episode_id", "start_time", "end_time", "transcript", "speaker_label")).alias("r")).select("segment_id", "r.*")
     rows = single.select("episode_id", "segment_id", clock_ms(F.col("start_time")).alias("start_ms"), clock_ms(F.col("end_time")).alias("end_ms"), F.coalesce("transcript", F.lit("")).alias("text"), F.coalesce(present(F.trim("speaker_label")), F.lit("unknown")).alias("label"))
     block = F.coalesce(F.floor(F.col("start_ms") / STRETCH_MS).cast("bigint"), F.lit(2**40))
