@@ -23,11 +23,24 @@ from pyspark.sql import types as T
 
 from .encode import _in_parts
 
-# Sentence terminators of all scripts that need no lower-case test, by Unicode's property STerm.
-_STRONG = "!?‼‽⁇⁈⁉՜՝՞։؝؞؟۔܀܁܂߹࠷࠹࠽࠾।॥၊။።፧፨᙮᜵᜶᠃᠉᥄᥅᪨᪩᪪᪫᭚᭛᭞᭟᰻᰼᱾᱿⸮⸼꓿꘎꘏꛳꛷꡶꡷꣎꣏꤯꧈꧉꩝꩞꩟꫰꫱꯫"
+# Sentence terminators of all scripts that need no lower-case test, by Unicode's property STerm
+# (all planes, but for U+2024, which is a point like "."; and the Armenian marks U+055C to U+055E besides).
+_STRONG = (
+    "!?‼‽⁇⁈⁉՜՝՞։؝؞؟۔܀܁܂߹࠷࠹࠽࠾।॥၊။።፧፨᙮᜵᜶᠃᠉᥄᥅᪨᪩᪪᪫᭚᭛᭞᭟᰻᰼᱾᱿⸮⸼꓿꘎꘏꛳꛷꡶꡷꣎꣏꤯꧈꧉꩝꩞꩟꫰꫱꯫"
+    "\u17D4\u17D5\u1B4E\u1B4F\u1B7D\u1B7E\u1B7F\u2CF9\u2CFA\u2CFB\u2E53\u2E54\u2E60\u2E61"
+    "\U00010A56\U00010A57\U00010F55\U00010F56\U00010F57\U00010F58\U00010F59\U00010F86\U00010F87\U00010F88\U00010F89\U00011047\U00011048\U000110BE"
+    "\U000110BF\U000110C0\U000110C1\U00011141\U00011142\U00011143\U000111C5\U000111C6\U000111CD\U000111DE\U000111DF\U00011238\U00011239\U0001123B"
+    "\U0001123C\U000112A9\U000113D4\U000113D5\U0001144B\U0001144C\U000115C2\U000115C3\U000115C9\U000115CA\U000115CB\U000115CC\U000115CD\U000115CE"
+    "\U000115CF\U000115D0\U000115D1\U000115D2\U000115D3\U000115D4\U000115D5\U000115D6\U000115D7\U00011641\U00011642\U0001173C\U0001173D\U0001173E"
+    "\U00011944\U00011946\U00011A42\U00011A43\U00011A9B\U00011A9C\U00011C41\U00011C42\U00011EF7\U00011EF8\U00011F43\U00011F44\U00016A6E\U00016A6F"
+    "\U00016AF5\U00016B37\U00016B38\U00016B44\U00016D6E\U00016D6F\U00016E98\U0001BC9F\U0001DA88"
+)
 # Terminators of scripts without blanks between sentences.
-_DENSE = "。．！？｡︒﹒﹖﹗"
-_TERMINATOR = re.compile(rf"[.…{re.escape(_STRONG)}{_DENSE};;]+(?:\s*[!?](?![\w]))*")
+_DENSE = "。．！？｡︒︕︖﹒﹖﹗"
+_ANY_TERMINATOR = re.compile(rf"[.…{re.escape(_STRONG)}{_DENSE};;]+(?:\s*[!?](?![\w]))*")
+#: For lines without characters beyond U+FFFF, which a set of characters tests one by one.
+_TERMINATOR = re.compile(rf"[.…{re.escape(''.join(c for c in _STRONG if c < chr(0x10000)))}{_DENSE};;]+(?:\s*[!?](?![\w]))*")
+_BEYOND = re.compile("[\U00010000-\U0010FFFF]")
 _LINE = re.compile("[^\n\r\x0b\x0c\x85\u2028\u2029]+")
 _CLOSERS = "\"'”’»«“)]}」』》】）〉〕›‹*_~"
 _OPENERS = "\"'“„«»‘‚‹(¿¡[{「『《〈【（—–-‐*_"
@@ -283,7 +296,7 @@ def _line(line: str) -> Iterator[tuple[int, int]]:
     # Candidates: terminators outside quotations, quotations that end with one, and blanks in Thai.
     marks: list[tuple[int, int, tuple[int, int] | None]] = []
     s = 0
-    for m in _TERMINATOR.finditer(line, body):
+    for m in (_ANY_TERMINATOR if _BEYOND.search(line) else _TERMINATOR).finditer(line, body):
         a, b = m.span()
         while s < len(spans) and spans[s][1] <= a:
             s += 1

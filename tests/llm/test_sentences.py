@@ -65,3 +65,17 @@ def test_operator(spark):
     df = spark.createDataFrame([(1, "So it is. Yes.", 5), (2, None, 5), (3, " ", 5), (1, "So it is. Yes.", 5)], "doc_id bigint, text string, start_char int")
     assert sorted(map(tuple, sentence_units(df).collect())) == [(1, 0, 9), (1, 0, 9), (1, 10, 14), (1, 10, 14)]
     assert sentence_units(df.limit(0)).count() == 0
+
+
+def test_all_terminators_of_the_property():
+    import regex
+
+    from earshot.llm.sentences import _DENSE, _STRONG
+
+    every = {chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and regex.match(r"\p{STerm}", chr(c))}
+    assert every - set(_STRONG + _DENSE) == {".", "\u2024"}
+
+
+@pytest.mark.parametrize("mark", ["\u17d4", "\U00010a56", "\U00011047", "\U00011141", "\ufe16"])
+def test_terminators_of_rare_scripts(mark):
+    assert len(sentences(f"aaa{mark} bbb{mark}")) == 2
