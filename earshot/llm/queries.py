@@ -26,14 +26,14 @@ def _segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The turns, unlabelled utterances going to the speaker before them, as TESTDATA.md has it."""
-    turns = speaker_turns(utterances(_segments(spark, folder), table(spark, folder, "episode_speakers")))
+    """The turns by the speaker model, in which a change of speaker is never left unlabelled, as TESTDATA.md has it."""
+    turns = speaker_turns(utterances(_segments(spark, folder), table(spark, folder, "episode_speakers")), blank_change=0.0)
     return turns.select("episode_id", "speaker", "first_segment_id", "last_segment_id", "n_words")
 
 
 def p3_profiled(spark: SparkSession, folder: str) -> DataFrame:
-    """The turns, unlabelled utterances decoded with participants' language profiles too."""
-    turns = speaker_turns(utterances(_segments(spark, folder), table(spark, folder, "episode_speakers"), profile=True), profile_weight=1.0)
+    """The turns by the speaker model, in which an unlabelled utterance may be another speaker's if its words tell so."""
+    turns = speaker_turns(utterances(_segments(spark, folder), table(spark, folder, "episode_speakers")))
     return turns.select("episode_id", "speaker", "first_segment_id", "last_segment_id", "n_words", "n_utterances")
 
 
