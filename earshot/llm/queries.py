@@ -164,7 +164,7 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """The sentences of every document."""
-    return sentence_units(table(spark, folder, "documents"))
+    return sentence_units(table(spark, folder, "documents"), language="lang")
 
 
 QUERIES = {"p3_found": p3_found, "p3_profiled": p3_profiled, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}

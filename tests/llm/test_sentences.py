@@ -65,15 +65,47 @@ def test_operator(spark):
     df = spark.createDataFrame([(1, "So it is. Yes.", 5), (2, None, 5), (3, " ", 5), (1, "So it is. Yes.", 5)], "doc_id bigint, text string, start_char int")
     assert sorted(map(tuple, sentence_units(df).collect())) == [(1, 0, 9), (1, 0, 9), (1, 10, 14), (1, 10, 14)]
     assert sentence_units(df.limit(0)).count() == 0
+    told = spark.createDataFrame([(1, "Me. Dupont", "fr"), (2, "Me. Dupont", "en"), (3, "Me. Dupont", None)], "doc_id bigint, text string, lang string")
+    assert sorted(r.doc_id for r in sentence_units(told, language="lang").collect()) == [1, 2, 2, 3]
 
 
 def test_all_terminators_of_the_property():
     import regex
 
-    from earshot.llm.sentences import _DENSE, _STRONG
+    from earshot.llm.sentences import _points, _terminators
 
     every = {chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and regex.match(r"\p{STerm}", chr(c))}
-    assert every - set(_STRONG + _DENSE) == {".", "\u2024"}
+    assert every - set().union(*_points()) == {".", "\u2024"}
+    assert all(_terminators()[1].match(c) for c in every)
+
+
+@pytest.mark.parametrize("text", ["He gave it to me. Then he left.", "She wore a cap. It was red.", "I ate a fig. It was sweet.", "He is my ex. She left.", "We had a sect. It grew.", "ខ្ញុំទៅផ្សារ។ គាត់មក។", "Sie war am Bord. Alles ging gut.", "On est avec toi. Rien ne va."])
+def test_words_that_are_abbreviations_elsewhere(text):
+    assert len(sentences(text)) == 2
+
+
+@pytest.mark.parametrize(
+    ("text", "language", "n"),
+    [
+        ("Me. Dupont est là.", "fr", 1), ("Me. Dupont left.", "en", 2), ("Véase cap. 3 ahora.", "es-MX", 1), ("Siehe Bd. 3 dort.", "German", 1), ("a vol. II b. C", None, 1), ("See fig. 4 there.", None, 1),
+        ("Am 9. Mai kam er.", "de", 1), ("I had 9. May came.", "en", 2), ("See ch. XIV today.", "EN", 1), ("No. I know.", "en", 2), ("См. стр. 5 там.", "en", 1), ("Word " + "x" * 100_000 + ". Next " + "One. " * 3, "en", 4),
+    ],
+)
+def test_abbreviations_by_language(text, language, n):
+    assert len(sentences(text, language)) == n
+
+
+def test_no_length_matters():
+    pad = " " * 5000
+    for text in ("It was" + pad + "e.g." + pad + "so here.", "He said “" + "really " * 3000 + "no.”" + pad + "and left.", "Wait... " + "# " * 3000 + "and on.", "at " + "A." * 3000 + " there."):
+        assert len(sentences(text)) == 1
+    assert len(sentences("Done. " + "# " * 3000 + "Next.")) == 2
+
+
+def test_signs():
+    assert sentences("abc\n---\ndef") == [(0, 3), (4, 7), (8, 11)]
+    assert sentences("It is so. -- # Next.") == [(0, 14), (15, 20)]
+    assert len(sentences("“Now?” Ⅻ asked he.")) == 1
 
 
 @pytest.mark.parametrize("mark", ["\u17d4", "\U00010a56", "\U00011047", "\U00011141", "\ufe16"])
