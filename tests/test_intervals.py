@@ -50,5 +50,15 @@ def test_interval_joins(spark):
     tests = {"containment": lambda s, e, a, b: s >= a and e <= b, "start_in": lambda s, e, a, b: a <= s < b, "overlap": lambda s, e, a, b: s < b and e > a}
     for how, test in tests.items():
         want = sorted((x[1], y[1]) for x in points for y in ranges if x[0] == y[0] and None not in (*x, *y) and test(x[2], x[3], y[2], y[3]))
-        for size in (100, 300_000):
+        for size in (1, 100, 300_000):
             assert sorted((q.p, q.r) for q in interval_join(p, r, "k", how, size).collect()) == want, how
+
+
+def test_ends_far_away(spark):
+    far = 10**15
+    p = spark.createDataFrame([("k", 1, 0, 10), ("k", 2, 5, far), ("k", 3, far - 5, far), ("k", 4, -far, far), ("m", 5, 1, 2)], "k string, p int, start_ms bigint, end_ms bigint")
+    r = spark.createDataFrame([("k", 1, 0, far), ("k", 2, 0, 7), ("k", 3, -far, -far + 1), ("k", 4, 20, 30), ("m", 5, 0, far), ("n", 6, 0, far)], "k string, r int, a_ms bigint, b_ms bigint")
+    got = {how: sorted((q.p, q.r) for q in interval_join(p, r, "k", how).collect()) for how in ("containment", "start_in", "overlap")}
+    assert got["containment"] == [(1, 1), (2, 1), (3, 1), (5, 5)]
+    assert got["start_in"] == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (4, 3), (5, 5)]
+    assert got["overlap"] == [(1, 1), (1, 2), (2, 1), (2, 2), (2, 4), (3, 1), (4, 1), (4, 2), (4, 3), (4, 4), (5, 5)]
