@@ -45,7 +45,8 @@ _LIMIT, _OVERLAP = 4000, 200
 def _items(spark: SparkSession, folder: str) -> DataFrame:
     """The oversized transcripts, and the oversized texts that ranges of segment_results cover."""
     segments = table(spark, folder, "transcript_segments").select("segment_id", "episode_id", "start_time", "end_time", "transcript")
-    long = segments.where(F.char_length("transcript") > _LIMIT).groupBy("segment_id").agg(F.min("transcript").alias("text"))
+    own = F.when(F.col("segment_id").isNull(), F.monotonically_increasing_id())
+    long = segments.where(F.char_length("transcript") > _LIMIT).groupBy("segment_id", own.alias("own")).agg(F.min("transcript").alias("text"))
     utterance = long.select(F.lit("utterance").alias("item_kind"), F.col("segment_id").alias("item_id"), "text")
     said = segments.select(F.col("episode_id").alias("group_id"), F.col("segment_id").alias("utterance_id"), clock_ms(F.col("start_time")).alias("start_ms"), clock_ms(F.col("end_time")).alias("end_ms"), F.col("transcript").alias("text"))
     ranges = table(spark, folder, "segment_results").select(F.col("episode_id").alias("group_id"), F.col("result_segment_id").alias("range_id"), whole_ms(F.col("start_sec")).alias("start_ms"), whole_ms(F.col("end_sec")).alias("end_ms"))

@@ -18,10 +18,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.joins import sliced
+from ..session import checkpointed
 from .encode import _in_parts
 from .sentences import sentences
 
@@ -80,7 +82,7 @@ def cuts(text: str, limit: int, overlap: int = 0, least: float = 0.5, sizes: np.
         if not end:
             end = max(far, start + 1)
             step = end
-            while step > start + 1 and step > end - 16 and _joined(text, step):
+            while step > start + 1 and _joined(text, step):
                 step -= 1
             if step > max(start, done) and not _joined(text, step):
                 end = step
@@ -91,6 +93,8 @@ def cuts(text: str, limit: int, overlap: int = 0, least: float = 0.5, sizes: np.
             i = int(np.searchsorted(words, back, "left"))
             start = int(words[i]) if i < len(words) and words[i] < end else back
             start = min(max(start, found[-1][0] + 1), end)
+            while start < end and _joined(text, start):
+                start += 1
         else:
             start = end
 
@@ -131,29 +135,32 @@ def split_texts(df: DataFrame, text: str, keep: Sequence[str], limit: int = 4000
     return rows.mapInArrow(run, schema)
 
 
-def covered_texts(utterances: DataFrame, ranges: DataFrame, limit: int = 4000, slice_ms: int = 300_000) -> DataFrame:
+def covered_texts(utterances: DataFrame, ranges: DataFrame, limit: int = 4000, slice_ms: int = 300_000, most_sent: int = 200_000) -> DataFrame:
     """The joined texts of the ranges whose text is longer than ``limit``: ``range_id`` and ``text``.
 
     ``utterances``: group_id, utterance_id, start_ms, end_ms, text; ``ranges``: group_id, range_id,
     start_ms, end_ms. A range covers the utterances of its group that start at or after its start
-    and end at or before its end; each utterance_id counts once (its copies are equal), null and
-    empty texts don't, texts are joined by one blank in the order of start, end and utterance_id. Ranges with a null bound or
+    and end at or before its end; each utterance_id counts once (its copies are equal) and each row
+    without one by itself, null and empty texts don't count, texts are joined by one blank in the order of start, end and utterance_id. Ranges with a null bound or
     an end not after the start are none; a range_id that occurs again is the same range.
 
     Utterances and ranges meet in slices of time, so a group with a large part of all rows is many
-    small keys. Lengths are summed first; only utterances of ranges that prove too long are read
-    with their text, which is joined per range.
+    small keys; a range has rows only for slices that exist (see :func:`sliced`). Lengths are summed
+    first, without text. What is left, the slices of ranges that prove too long, is written down; if
+    that is at most ``most_sent`` rows they are sent to where the text is, so that only covered texts are
+    shuffled, and beyond that both are shuffled by group and slice.
     """
-    spans = ranges.where("group_id IS NOT NULL AND end_ms > start_ms").select("group_id", "range_id", "start_ms", "end_ms").dropDuplicates()
-    sliced = spans.withColumn("slice", F.explode(F.sequence(F.expr(f"CAST(floor(start_ms / {slice_ms}) AS BIGINT)"), F.expr(f"CAST(floor(end_ms / {slice_ms}) AS BIGINT)"))))
-    sliced = sliced.select(F.col("group_id").alias("g"), F.col("slice").alias("sl"), "range_id", F.col("start_ms").alias("a"), F.col("end_ms").alias("b"))
-    said = utterances.where("group_id IS NOT NULL AND start_ms IS NOT NULL AND end_ms IS NOT NULL AND text <> ''").withColumn("slice", F.expr(f"CAST(floor(start_ms / {slice_ms}) AS BIGINT)"))
+    spans = ranges.where("group_id IS NOT NULL AND end_ms > start_ms").select("group_id", "range_id", F.col("start_ms").alias("a_ms"), F.col("end_ms").alias("b_ms")).dropDuplicates()
+    # A row without an identifier is nobody's copy.
+    own = F.when(F.col("utterance_id").isNull(), F.monotonically_increasing_id())
+    said = utterances.where("group_id IS NOT NULL AND start_ms IS NOT NULL AND end_ms IS NOT NULL AND text <> ''").withColumn("slice", F.expr(f"CAST(floor(start_ms / {slice_ms}) AS BIGINT)")).withColumn("own", own)
+    single = said.groupBy("group_id", "slice", "utterance_id", "own").agg(F.min("start_ms").alias("start_ms"), F.min("end_ms").alias("end_ms"), F.min(F.char_length("text")).alias("n"))
+    slices = sliced(spans, "group_id", said.select("group_id", "slice").distinct(), slice_ms, "slice").select(F.col("group_id").alias("g"), F.col("slice").alias("sl"), "range_id", F.col("a_ms").alias("a"), F.col("b_ms").alias("b"))
     inside = (F.col("g") == F.col("group_id")) & (F.col("sl") == F.col("slice")) & (F.col("start_ms") >= F.col("a")) & (F.col("end_ms") <= F.col("b"))
-    small = said.select("group_id", "slice", "start_ms", "end_ms", "utterance_id", F.char_length("text").alias("n"))
-    single = small.groupBy("group_id", "slice", "utterance_id").agg(*[F.min(c).alias(c) for c in ("start_ms", "end_ms", "n")])
-    lengths = single.join(sliced, inside).groupBy("range_id", "g", "a", "b").agg((F.sum("n") + F.count(F.lit(1)) - 1).alias("length"))
-    long = lengths.where(F.col("length") > limit).select("range_id", "g", "a", "b")
-    # Few ranges are left; each needs the texts of its own slices only.
-    needed = long.withColumn("sl", F.explode(F.sequence(F.expr(f"CAST(floor(a / {slice_ms}) AS BIGINT)"), F.expr(f"CAST(floor(b / {slice_ms}) AS BIGINT)"))))
-    texts = said.join(needed, inside).groupBy("range_id", "g", "a", "b", "utterance_id").agg(F.min(F.struct("start_ms", "end_ms", "utterance_id", "text")).alias("u"))
+    # By range and slice, so that what is needed of each slice is known without cutting ranges again.
+    parts = single.join(slices, inside).groupBy("range_id", "g", "a", "b", "sl").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    whole = Window.partitionBy("range_id", "g", "a", "b")
+    needed = checkpointed(parts.withColumn("length", F.sum("n").over(whole) + F.sum("k").over(whole) - 1).where(F.col("length") > limit).select("range_id", "g", "a", "b", "sl"))
+    few = needed.limit(most_sent + 1).count() <= most_sent
+    texts = said.join(F.broadcast(needed) if few else needed, inside).groupBy("range_id", "g", "a", "b", "utterance_id", "own").agg(F.min(F.struct("start_ms", "end_ms", "utterance_id", "text")).alias("u"))
     return texts.groupBy("range_id", "g", "a", "b").agg(F.array_join(F.transform(F.array_sort(F.collect_list("u")), lambda u: u["text"]), " ").alias("text")).select("range_id", "text")

@@ -78,4 +78,11 @@ def test_covered_texts(spark):
     for size in (500, 300_000):
         rows = covered_texts(u, r, 60, size).collect()
         assert {x.range_id: x.text for x in rows} == want and len(rows) == len(want)
+    assert {x.range_id: x.text for x in covered_texts(u, r, 60, most_sent=0).collect()} == want
     assert covered_texts(u.limit(0), r, 60).count() == 0
+
+
+def test_rows_without_an_id_and_ends_far_away(spark):
+    u = spark.createDataFrame([("g", None, 1, 2, "one two"), ("g", None, 1, 2, "one two"), ("g", "a", 3, 4, "three"), ("g", "a", 3, 4, "three"), ("g", "b", 5, 10**15, "far")], "group_id string, utterance_id string, start_ms bigint, end_ms bigint, text string")
+    r = spark.createDataFrame([("g", "r", 0, 10**15), ("g", "s", -(10**15), 9)], "group_id string, range_id string, start_ms bigint, end_ms bigint")
+    assert sorted(map(tuple, covered_texts(u, r, 5).collect())) == [("r", "one two one two three far"), ("s", "one two one two three")]
