@@ -10,7 +10,7 @@ from ..operators.intervals import whole_ms
 from ..session import checkpointed
 from ..sources.tables import table
 from .encode import token_counts, token_ids
-from .mixing import Leaf, budgets, leaf_sizes, select_mix, shortfalls
+from .mixing import budgets, leaf_sizes, leaves, select_mix, shortfalls
 from .sentences import sentence_units
 from .splitting import covered_texts, split_texts
 from .turns import speaker_turns, utterances
@@ -96,10 +96,6 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---- 7: mixing
 
-#: Kinds of sources; others are their own domain.
-_DOMAINS = {"spoken": ["transcript", "archive_tape"], "published": ["show_notes", "newsletter", "chapter_summary", "press_note", "glossary"], "contributed": ["listener_mail", "guest_post"]}
-
-
 def _language(lang):
     bare = F.lower(F.regexp_extract(lang, "^[A-Za-z]+", 0))
     names = {"english": "en", "eng": "en", "ger": "de", "deu": "de", "spa": "es", "fra": "fr", "fre": "fr", "cmn": "zh", "zho": "zh", "jpn": "ja", "jp": "ja", "rus": "ru", "hin": "hi", "tha": "th", "ell": "el", "gre": "el", "ara": "ar", "und": "", "": ""}
@@ -107,55 +103,45 @@ def _language(lang):
     return F.nullif(F.coalesce(F.try_element_at(lookup, bare), bare), F.lit(""))
 
 
-def _targets(spark: SparkSession, folder: str) -> list[tuple[str, float, int]]:
-    rows = table(spark, folder, "mix_targets").groupBy("source").agg(F.sum("target_weight"), F.max("max_repeats")).limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("too many targets")
-    return [(r[0], r[1] or 0.0, r[2] or 0) for r in rows]
+_PATH = ["domain", "language", "source"]
+
 
+def _sizes(spark: SparkSession, folder: str, domains: DataFrame | None = None) -> DataFrame:
+    """Every document's tokens and place in the tree; ``domains`` (source, domain) groups sources, without it all are of one domain."""
+    rows = token_counts(table(spark, folder, "documents"), keep=["doc_id", "source", "lang"]).withColumn("language", _language(F.col("lang")))
+    if domains is None:
+        return rows.withColumn("domain", F.lit(None).cast("string"))
+    return rows.join(domains.select(F.col("source").alias("_s"), "domain"), F.col("source") == F.col("_s"), "left").drop("_s")
 
-def _sizes(spark: SparkSession, folder: str) -> DataFrame:
-    return token_counts(table(spark, folder, "documents"), keep=["doc_id", "source", "lang"])
+
+def _plan(spark: SparkSession, folder: str, sizes: DataFrame) -> tuple[DataFrame, int]:
+    """The budgets of the tree's leaves, and the tokens of all documents."""
+    found = checkpointed(leaf_sizes(sizes, _PATH))
+    total = found.agg(F.sum("tokens")).first()[0] or 0
+    targets = table(spark, folder, "mix_targets").groupBy("source").agg(F.sum("target_weight").alias("weight"), F.max("max_repeats").alias("max_repeats"))
+    return budgets(leaves(targets, found, _PATH), _PATH, total), total
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The sources of mix_targets that fall short of their share."""
-    sizes = leaf_sizes(_sizes(spark, folder), ["source"])
-    total = sum(t for t, _ in sizes.values())
-    leaves = [Leaf((s,), w, n, *sizes.get((s,), (0, 0))) for s, w, n in _targets(spark, folder)]
-    return spark.createDataFrame([(x.path[0],) for x in shortfalls(leaves, total)], "source string")
-
-
-def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, list[Leaf], list[float], int]:
-    """The domain-language-source tree: a source's weight falls to its languages in the parts they have of it."""
-    domain = F.create_map(*[F.lit(x) for d, sources in _DOMAINS.items() for s in sources for x in (s, d)])
-    sizes = checkpointed(_sizes(spark, folder).withColumn("language", _language(F.col("lang"))).withColumn("domain", F.coalesce(F.try_element_at(domain, F.col("source")), F.col("source"))))
-    found = leaf_sizes(sizes, ["domain", "language", "source"])
-    total = sum(t for t, _ in found.values())
-    per_source: dict[str | None, int] = {}
-    for (_, _, s), (t, _) in found.items():
-        per_source[s] = per_source.get(s, 0) + t
-    wanted = {s: (w, n) for s, w, n in _targets(spark, folder)}
-    leaves = [Leaf(p, wanted[p[2]][0] * t / per_source[p[2]] if per_source[p[2]] else 0.0, wanted[p[2]][1], t, n) for p, (t, n) in sorted(found.items(), key=str) if p[2] in wanted]
-    known = {x.path[2] for x in leaves}
-    homes = {s: d for d, sources in _DOMAINS.items() for s in sources}
-    leaves += [Leaf((homes.get(s, s), None, s), w, n) for s, (w, n) in wanted.items() if s not in known]
-    given = budgets(leaves, total)
-    return sizes, select_mix(sizes, ["domain", "language", "source"], leaves, given), leaves, given, total
-
-
-def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The sources of mix_targets that fall short of their share: those whose leaves of the tree can't fill their budgets."""
+    planned, total = _plan(spark, folder, _sizes(spark, folder))
+    return shortfalls(planned, "source", total)
+
+
+def p7_mix(spark: SparkSession, folder: str, domains: DataFrame | None = None) -> DataFrame:
     """The documents of the mix and how often each is used."""
-    return _mix(spark, folder)[1]
+    sizes = checkpointed(_sizes(spark, folder, domains))
+    return select_mix(sizes, _PATH, _plan(spark, folder, sizes)[0])
 
 
-def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+def p7_shares(spark: SparkSession, folder: str, domains: DataFrame | None = None) -> DataFrame:
     """Each target source's wanted and actual share of the mix."""
-    _, mix, _, _, total = _mix(spark, folder)
-    actual = mix.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.sum("copies").cast("bigint").alias("documents"))
+    sizes = checkpointed(_sizes(spark, folder, domains))
+    planned, total = _plan(spark, folder, sizes)
+    actual = select_mix(sizes, _PATH, planned).groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.sum("copies").cast("bigint").alias("documents"))
     targets = table(spark, folder, "mix_targets").groupBy("source").agg(F.sum("target_weight").alias("target_weight"))
     joined = targets.join(actual, "source", "left").select("source", "target_weight", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"))
-    # One row for each target, of which there are at most 10,000.
+    # One row for each target.
     whole = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
     return joined.select("source", "target_weight", (F.lit(total) * F.col("target_weight")).alias("target_tokens"), "tokens", "documents", (F.col("tokens") / F.nullif(whole, F.lit(0))).alias("actual_share"))
 
