@@ -1,8 +1,9 @@
 """Messages delivered more than once: one copy of each is kept.
 
 :func:`surplus` works on one table of deliveries. :func:`fold_batch` is the incremental form over a
-partitioned history: the identifier's hash names the partition that can hold earlier copies, only
-those partitions are read, combined with the incoming messages, given new winners and written anew.
+history in partitions of time. An identifier index tells which partitions hold earlier copies of a
+batch's messages; only those are read, combined with the incoming messages, given new winners and
+written anew, and all of it is put in place at once.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ import re
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 
 def canonical_id(raw: Column) -> Column:
@@ -69,13 +71,22 @@ def first_copies(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     return kept.unionByName(unknown)
 
 
+#: Pieces that a message's copies fall into before a winner is chosen, so that none of them is a hot task.
+_SALTS = 64
+_INDEX = StructType([StructField("_id", LongType()), StructField("_in", StringType())])
+
+
 def _files(spark: SparkSession, folder: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _manifest(spark: SparkSession, history: str) -> tuple[int, dict[str, str]]:
-    """The number and the content (bucket to folder) of the newest manifest; (0, {}) for a new table."""
+def _manifest(spark: SparkSession, history: str) -> tuple[int, dict]:
+    """The number and the content of the newest manifest; (0, {}) for a new table.
+
+    The content has "partitions" (each partition's folders), "surplus" (folders), "replaced" (folders
+    that only an earlier manifest has) and "schema".
+    """
     files, path = _files(spark, history), spark._jvm.org.apache.hadoop.fs.Path
     if not files.exists(path(history)):
         return 0, {}
@@ -84,50 +95,111 @@ def _manifest(spark: SparkSession, history: str) -> tuple[int, dict[str, str]]:
         return 0, {}
     newest = max(numbers)
     text = "".join(r[0] for r in spark.read.text(f"{history}/manifest-{newest}.json").collect())  # one line
+    if not text.endswith("}"):
+        raise RuntimeError("another batch is being added at this time")
     return newest, json.loads(text)
 
 
+def _read(spark: SparkSession, history: str, schema: StructType, folders: Sequence[str]) -> DataFrame:
+    return spark.read.schema(schema).parquet(*[f"{history}/{f}" for f in folders]) if folders else spark.createDataFrame([], schema)
+
+
 def read_once(spark: SparkSession, history: str) -> DataFrame:
-    """The deduplicated table that :func:`fold_batch` keeps at ``history``."""
+    """The single copies that :func:`fold_batch` keeps at ``history``."""
+    _, content = _manifest(spark, history)
+    return _read(spark, history, StructType.fromJson(content["schema"]), [f for folders in content["partitions"].values() for f in folders])
+
+
+def read_surplus(spark: SparkSession, history: str) -> DataFrame:
+    """The further copies that :func:`fold_batch` found, each once, in whatever batches they came."""
     _, content = _manifest(spark, history)
-    schema = StructType.fromJson(json.loads(content["schema"]))
-    folders = [f"{history}/{v}" for k, v in content.items() if k != "schema"]
-    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
-
-
-def fold_batch(spark: SparkSession, history: str, batch: DataFrame, keys: Sequence[str], order: Sequence[str], buckets: int = 64) -> list[int]:
-    """Adds a batch of deliveries to the deduplicated table at ``history``; returns the partitions written anew.
-
-    A message's partition is a hash of its keys: that hash is the identifier index, so a batch reads
-    and rewrites only the partitions that can hold earlier copies of its messages. Winners are
-    computed again from those partitions and the batch, as in :func:`first_copies`, and written to a
-    new folder; one rename of a manifest then puts all of them in the old ones' place, so a reader
-    sees the table before the batch or after it, and a job that dies leaves the table as it was.
-    Adding a batch twice changes nothing. Rows with a null key identify no message: they are all
-    kept, equal rows once, in bucket -1. An empty batch writes nothing. ``buckets`` and the schema
-    must stay the same for one table; a column named ``_bucket`` isn't allowed.
+    return _read(spark, history, StructType.fromJson(content["schema"]), content["surplus"]).dropDuplicates()
+
+
+def _places(rows: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """``rows`` with ``_kept``: true for a message's one winner, false for its other copies; equal rows are one.
+
+    Copies are placed within salted pieces of their message, and then the pieces' winners among
+    themselves, so that a message with a third of all deliveries is no hot task.
     """
+    every = [*[F.col(c).asc_nulls_last() for c in order], *[c for c in columns if c not in order]]
+    # Without an identifier a row is a copy only of equal rows.
     missing = F.lit(False)
     for k in keys:
         missing = missing | F.col(k).isNull()
-    bucket = F.when(missing, F.lit(-1)).otherwise(F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-    touched = sorted(r[0] for r in batch.select(bucket.alias("b")).distinct().collect())  # at most buckets + 1 values
-    if not touched:
-        return []
+    message = [*keys, "_whole"]
+    rows = rows.withColumn("_whole", F.when(missing, F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))).withColumn("_salt", F.pmod(F.xxhash64(*columns), F.lit(_SALTS)).cast("int"))
+    piece = Window.partitionBy(*message, "_salt").orderBy(*every)
+    rows = rows.withColumn("_n", F.row_number().over(piece)).withColumn("_r", F.rank().over(piece))
+    # Winners of pieces meet under a null salt; the others stay where they are.
+    rows = rows.withColumn("_salt", F.when(F.col("_n") > 1, F.col("_salt")))
+    whole = Window.partitionBy(*message, "_salt").orderBy(*every)
+    first = F.col("_n") == 1
+    rows = rows.withColumn("_place", F.row_number().over(whole))
+    # A row equal to the winner is dropped, any other is surplus.
+    kept = F.when(first & (F.col("_place") == 1), True).when(first | (F.col("_r") > 1), False)
+    return rows.withColumn("_kept", kept).where("_kept IS NOT NULL").drop("_whole", "_salt", "_n", "_r", "_place")
+
+
+def fold_batch(spark: SparkSession, history: str, batch: DataFrame, keys: Sequence[str], order: Sequence[str], partition: str) -> list[str]:
+    """Adds a batch of deliveries to the table of single copies at ``history``; returns the partitions written anew.
+
+    ``keys`` identify a message, ``order`` is its order of preference (smallest first, nulls last, then
+    by the other columns), ``partition`` an SQL expression for the partition of a row, best one of its
+    time. The identifier index are two columns of the partitions' files, ``_id`` (a hash of the keys) and
+    ``_in`` (the partition), which are read alone: it tells which partitions hold copies of the batch's messages. Those are read whole and
+    combined with the batch, winners are computed again, and each winner goes to its own partition.
+    Partitions with copies are replaced, others only get new files beside their old ones.
+
+    One manifest, created only if no other writer has created it, puts everything in place, so a
+    reader sees the table before the batch or after it, and a job that dies leaves the table as it
+    was. Replaced files stay for the readers of the manifest before and are removed by the next
+    batch. Adding a batch twice changes nothing. Rows with a null key identify no message: they are
+    all kept, equal rows once. The first batch founds the table, if it is empty too; any other empty
+    batch writes nothing. The schema must stay the same for one table; names that begin with "_" aren't allowed.
+    """
+    columns = batch.columns
     number, content = _manifest(spark, history)
-    old = [f"{history}/{content[str(b)]}" for b in touched if str(b) in content]
-    rows = batch.unionByName(spark.read.schema(batch.schema).parquet(*old)) if old else batch
-    winners = first_copies(rows.where(~missing), keys, order).unionByName(rows.where(missing).dropDuplicates())
+    identity = F.xxhash64(*keys)
+    marked = batch.withColumn("_part", F.coalesce(F.expr(partition).cast("string"), F.lit("none")))
+    old: dict[str, list[str]] = content.get("partitions", {})
+    touched: list[str] = []
+    if old:
+        index = _read(spark, history, _INDEX, [f for folders in old.values() for f in folders])
+        held = index.join(batch.select(identity.alias("_id")).distinct(), "_id", "left_semi")
+        touched = sorted(r[0] for r in held.select("_in").distinct().collect())  # at most as many as partitions
+    rows = marked
+    if touched:
+        earlier = _read(spark, history, batch.schema, [f for part in touched for f in old[part]])
+        rows = marked.unionByName(earlier.withColumn("_part", F.coalesce(F.expr(partition).cast("string"), F.lit("none"))))
     name = f"data/{uuid.uuid4().hex}"
-    winners.withColumn("_bucket", bucket).repartition(F.col("_bucket")).write.partitionBy("_bucket").parquet(f"{history}/{name}")
+    placed = _places(rows, keys, order, columns).withColumn("_id", identity).withColumn("_in", F.col("_part"))
+    # Partitions of any size are written by as many tasks as they need.
+    placed.hint("rebalance", "_kept", "_part").write.partitionBy("_kept", "_part").parquet(f"{history}/{name}")
     files, path = _files(spark, history), spark._jvm.org.apache.hadoop.fs.Path
-    for b in touched:
-        content[str(b)] = f"{name}/_bucket={b}"
-    content["schema"] = json.dumps(json.loads(batch.schema.json()))
-    draft = path(f"{history}/.draft-{uuid.uuid4().hex}")
-    out = files.create(draft)
-    out.write(bytearray(json.dumps(content).encode()))
+    below = lambda kept: [s.getPath().getName() for s in files.listStatus(path(f"{history}/{name}/_kept={kept}"))] if files.exists(path(f"{history}/{name}/_kept={kept}")) else []
+    written = below("true")
+    lost = [f"{name}/_kept=false/{f}" for f in below("false")]
+    if number and not written and not lost:
+        return []
+    now = {part: folders for part, folders in old.items() if part not in touched}
+    for folder in written:
+        part = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(folder.partition("=")[2])
+        now.setdefault(part, [])
+        now[part] = [*now[part], f"{name}/_kept=true/{folder}"]
+    replaced = [f for part in touched for f in old[part]]
+    done = {"partitions": now, "surplus": [*content.get("surplus", []), *lost], "replaced": replaced, "schema": json.loads(batch.schema.json())}
+    try:
+        out = files.create(path(f"{history}/manifest-{number + 1}.json"), False)
+    except Py4JJavaError as e:
+        raise RuntimeError("another batch was added at the same time; add this one again") from e
+    out.write(bytearray(json.dumps(done).encode()))
     out.close()
-    if not files.rename(draft, path(f"{history}/manifest-{number + 1}.json")):
-        raise RuntimeError("another batch was added at the same time; add this one again")
+    for folder in content.get("replaced", []):
+        files.delete(path(f"{history}/{folder}"), True)
     return touched
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared file system and all below it."""
+    _files(spark, folder).delete(spark._jvm.org.apache.hadoop.fs.Path(folder), True)

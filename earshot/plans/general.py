@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.intervals import periods_and_gaps, whole_ms
-from ..operators.once import canonical_id, fold_batch, read_once
+from ..operators.once import canonical_id, fold_batch, read_surplus, remove
 from ..operators.units import lengths
-from ..session import shared_folder
+from ..session import checkpointed, shared_folder
 from ..sources.tables import table
 
 
@@ -60,24 +60,23 @@ def _deliveries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The surplus deliveries: those that aren't in the table of single copies.
+    """The surplus deliveries: those that the table of single copies didn't keep.
 
     The table is made as it would be day by day: the first batch (deliveries of the earlier three
-    quarters of the time span) founds it, the second is folded in by the identifier index.
+    quarters of the time span) founds it, the second is folded in by the identifier index. It is
+    removed when its surplus has been written down.
     """
     rows = _deliveries(spark, folder)
     home = f"{shared_folder(spark).rstrip('/')}/once-{uuid.uuid4().hex}"
     t = F.col("received_at").cast("timestamp").cast("double")
-    low, high = rows.agg(F.min(t), F.max(t)).first()
+    low, high = table(spark, folder, "queue_messages").agg(F.min(t), F.max(t)).first()
     split = None if low is None else low + 0.75 * (high - low)
     late = F.coalesce(t > F.lit(split), F.lit(False))
     for batch in (rows.where(~late), rows.where(late)):
-        fold_batch(spark, home, batch, ["queue_name", "message"], ["received_at", "delivery_id"], buckets=32)
-    if low is None and rows.isEmpty():
-        return rows.select("delivery_id")
-    kept = read_once(spark, home).select("delivery_id")
-    known = rows.where(F.col("queue_name").isNotNull() & F.col("message").isNotNull())
-    return known.select("delivery_id").join(kept, "delivery_id", "left_anti")
+        fold_batch(spark, home, batch, ["queue_name", "message"], ["received_at", "delivery_id"], "date_format(received_at, 'yyyy-MM')")
+    found = checkpointed(read_surplus(spark, home).select("delivery_id"))
+    remove(spark, home)
+    return found
 
 
 P5_FOUND = """

@@ -10,8 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.once import canonical_id, read_once
-from ..session import shared_folder
+from ..operators.once import canonical_id, read_surplus, remove
+from ..session import checkpointed, shared_folder
 from ..sources.tables import table
 from ..streaming import pipelines as P
 from .general import P5_FOUND
@@ -61,11 +61,12 @@ def streaming_once(spark: SparkSession, folder: str) -> DataFrame:
     raw = F.when(F.col("queue_name") == "processing", F.col("audio_media_id")).otherwise(F.col("episode_id"))
     rows = lambda df: df.select("delivery_id", "queue_name", canonical_id(raw).alias("message"), "received_at")
     place = _place(spark)
-    sink = P.keep_once(f"{place}/once", ["queue_name", "message"], ["received_at", "delivery_id"], 16)
+    sink = P.keep_once(f"{place}/once", ["queue_name", "message"], ["received_at", "delivery_id"], "date_format(received_at, 'yyyy-MM')")
     q = rows(_stream(spark, folder, "queue_messages")).writeStream.option("checkpointLocation", f"{place}/state").foreachBatch(sink).trigger(availableNow=True).start()
     q.awaitTermination()
-    everything = rows(table(spark, folder, "queue_messages")).where("message IS NOT NULL AND queue_name IS NOT NULL")
-    return everything.select("delivery_id").join(read_once(spark, f"{place}/once").select("delivery_id"), "delivery_id", "left_anti")
+    found = checkpointed(read_surplus(spark, f"{place}/once").select("delivery_id"))
+    remove(spark, place)
+    return found
 
 
 def event_windows(spark: SparkSession, folder: str) -> DataFrame:

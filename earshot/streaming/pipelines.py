@@ -75,11 +75,11 @@ def transitions(events: DataFrame, allowed: dict[str, Sequence[str]], start: str
     return events.groupBy("key").applyInPandasWithState(step, out, state, "update", GroupStateTimeout.NoTimeout)
 
 
-def keep_once(history: str, keys: Sequence[str], order: Sequence[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+def keep_once(history: str, keys: Sequence[str], order: Sequence[str], partition: str) -> Callable[[DataFrame, int], None]:
     """A sink for ``foreachBatch`` that keeps one copy of each message; a batch that runs again changes nothing."""
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        fold_batch(batch.sparkSession, history, batch, keys, order, buckets)
+        fold_batch(batch.sparkSession, history, batch, keys, order, partition)
 
     return sink
 
