@@ -34,49 +34,32 @@ def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str, b
     Returns ``keys``, ``kind`` ('period' or 'gap'), ``start_ms`` and ``end_ms``. ``block_ms`` is the
     length of time that one task sweeps at a time; it doesn't change the result.
     """
-    names = [f"_k{i}" for i in range(len(keys))]
-    ranges = df.select(
-        *[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)],
-        F.col(start).cast("bigint").alias("_s"),
-        F.col(end).cast("bigint").alias("_e"),
-    ).where(F.col("_e") > F.col("_s"))
+    # One column for all keys, which is never null itself: joins and windows on it share one partitioning.
+    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("_k") if keys else F.struct(F.lit(0).alias("k0")).alias("_k")
+    ranges = df.select(key, F.col(start).cast("bigint").alias("_s"), F.col(end).cast("bigint").alias("_e")).where(F.col("_e") > F.col("_s"))
     events = (
-        ranges.select(*names, F.explode(F.array(F.struct(F.col("_s").alias("at"), F.lit(1).alias("d")), F.struct(F.col("_e").alias("at"), F.lit(-1).alias("d")))).alias("_v"))
-        .select(*names, F.col("_v.at").alias("_at"), F.col("_v.d").cast("bigint").alias("_d"))
+        ranges.select("_k", F.explode(F.array(F.struct(F.col("_s").alias("at"), F.lit(1).alias("d")), F.struct(F.col("_e").alias("at"), F.lit(-1).alias("d")))).alias("_v"))
+        .select("_k", F.col("_v.at").alias("_at"), F.col("_v.d").cast("bigint").alias("_d"))
         .withColumn("_b", F.expr(f"_at div {block_ms} - IF(_at % {block_ms} < 0, 1, 0)"))
-        .groupBy(*names, "_b", "_at")
+        .groupBy("_k", "_b", "_at")
         .agg(F.sum("_d").alias("_d"))
     )
     # How many intervals are open when a block begins: blocks are few, whatever the number of rows.
-    in_order = Window.partitionBy(*names).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    opened = (
-        events.groupBy(*names, "_b")
-        .agg(F.sum("_d").alias("_n"))
-        .select(*names, "_b", F.coalesce(F.sum("_n").over(in_order), F.lit(0)).alias("_open"))
-    )
-    same = [F.col(f"e.{n}").eqNullSafe(F.col(f"o.{n}")) for n in [*names, "_b"]]
-    condition = same[0]
-    for c in same[1:]:
-        condition = condition & c
-    within = Window.partitionBy(*names, "_b").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    counted = (
-        events.alias("e")
-        .join(opened.alias("o"), condition)
-        .select(*[F.col(f"e.{n}").alias(n) for n in names], F.col("e._b").alias("_b"), F.col("e._at").alias("_at"), F.col("e._d").alias("_d"), F.col("o._open").alias("_open"))
-        .withColumn("_after", F.col("_open") + F.sum("_d").over(within))
-        .withColumn("_before", F.col("_after") - F.col("_d"))
-    )
+    in_order = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    opened = events.groupBy("_k", "_b").agg(F.sum("_d").alias("_n")).select("_k", "_b", F.coalesce(F.sum("_n").over(in_order), F.lit(0)).alias("_open"))
+    within = Window.partitionBy("_k", "_b").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    counted = events.join(opened, ["_k", "_b"]).withColumn("_after", F.col("_open") + F.sum("_d").over(within)).withColumn("_before", F.col("_after") - F.col("_d"))
     # Boundaries alternate: a period begins, ends, begins ... A begin at the instant of an end has been summed away.
-    edges = counted.where((F.col("_before") == 0) != (F.col("_after") == 0)).select(*names, "_b", "_at", (F.col("_after") > 0).alias("_begins"))
-    block = Window.partitionBy(*names, "_b").orderBy("_at")
-    paired = edges.withColumn("_next", F.lead("_at").over(block)).withColumn("_last", F.col("_next").isNull())
-    inside = paired.where(~F.col("_last")).select(*names, "_begins", "_at", "_next")
+    edges = counted.where((F.col("_before") == 0) != (F.col("_after") == 0)).select("_k", "_b", "_at", (F.col("_after") > 0).alias("_begins"))
+    block = Window.partitionBy("_k", "_b").orderBy("_at")
+    paired = edges.withColumn("_next", F.lead("_at").over(block)).withColumn("_first", F.lag("_at").over(block).isNull())
+    inside = paired.where(F.col("_next").isNotNull()).select("_k", "_begins", "_at", "_next")
     # Each block's last boundary goes on to the first boundary of the key's next block that has any.
-    per_block = edges.groupBy(*names, "_b").agg(F.min("_at").alias("_first"), F.max(F.struct("_at", "_begins")).alias("_l"))
-    blocks = Window.partitionBy(*names).orderBy("_b")
-    across = per_block.select(*names, F.col("_l._begins").alias("_begins"), F.col("_l._at").alias("_at"), F.lead("_first").over(blocks).alias("_next")).where(F.col("_next").isNotNull())
+    blocks = Window.partitionBy("_k").orderBy("_at")
+    ends = paired.where(F.col("_first") | F.col("_next").isNull())
+    across = ends.withColumn("_over", F.lead("_at").over(blocks)).where(F.col("_next").isNull() & F.col("_over").isNotNull()).select("_k", "_begins", "_at", F.col("_over").alias("_next"))
     return inside.unionByName(across).select(
-        *[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)],
+        *[F.col(f"_k.k{i}").alias(k) for i, k in enumerate(keys)],
         F.when(F.col("_begins"), F.lit("period")).otherwise(F.lit("gap")).alias("kind"),
         F.col("_at").alias("start_ms"),
         F.col("_next").alias("end_ms"),
