@@ -85,14 +85,18 @@ OTHER = 1e-3
 _PREFIX_COST, _STEP_COST = math.log(0.1), math.log(0.05)
 
 
-@lru_cache(maxsize=4096)
-def _segment(text: str, prior: tuple[tuple[str, float], ...]) -> tuple[Unit, ...]:
-    weights = dict(prior)
-    # best[i]: readings of text[:i] as (score, factor, {dimension: power})
-    best: list[dict[tuple, tuple[float, float]]] = [{} for _ in range(len(text) + 1)]
-    best[0][()] = (0.0, 1.0)
+#: A unit has at most so many factors ("kg·m²·s⁻³").
+_FACTORS = 4
+
+
+def _decompose(text: str) -> list[dict[tuple, tuple[float, float]]]:
+    """For the text up to each place its best segmentations, by dimensions and powers: score and factor. Places that can't be reached are left out at the end."""
+    # states[i]: (number of factors, dimensions) to (score, factor)
+    states: list[dict[tuple, tuple[float, float]]] = [{(0, ()): (0.0, 1.0)}]
     for at in range(len(text)):
-        if not best[at]:
+        if at >= len(states):
+            break
+        if not states[at]:
             continue
         steps = []
         for after_prefix, (kind, scale) in _PREFIX_TRIE.ends(text, at):
@@ -102,33 +106,63 @@ def _segment(text: str, prior: tuple[tuple[str, float], ...]) -> tuple[Unit, ...
                 cost = (_PREFIX_COST if kind else 0.0) + (_PREFIX_COST if scale in (1e-2, 1e3, 1e-9) else 0.0)
                 for after, power in _EXPONENT_TRIE.ends(text, after_root):
                     steps.append((after, dim, power, (factor * scale) ** power, cost + (_STEP_COST if power != 1 else 0.0)))
-        for dims, (score, total) in best[at].items():
-            for after, dim, power, factor, cost in steps:
+        for (n, dims), (score, total) in states[at].items():
+            for after, dim, power, factor, cost in steps if n < _FACTORS else ():
                 powers = dict(dims)
                 powers[dim] = powers.get(dim, 0) + power
-                key = tuple(sorted((d, p) for d, p in powers.items() if p))
+                key = (n + 1, tuple(sorted((d, p) for d, p in powers.items() if p)))
                 value = (score + cost + (_STEP_COST if at else 0.0), total * factor)
-                slot = best[after]
-                if key not in slot or slot[key][0] < value[0]:
-                    slot[key] = value
-    found = []
-    for dims, (score, factor) in best[len(text)].items():
+                while len(states) <= after:
+                    states.append({})
+                if key not in states[after] or states[after][key][0] < value[0]:
+                    states[after][key] = value
+    best: list[dict[tuple, tuple[float, float]]] = []
+    for found in states:
+        merged: dict[tuple, tuple[float, float]] = {}
+        for (_, dims), value in found.items():
+            if dims not in merged or merged[dims][0] < value[0]:
+                merged[dims] = value
+        best.append(merged)
+    return best
+
+
+def _rated(found: Mapping[tuple, tuple[float, float]], weights: Mapping[str, float]) -> tuple[Unit, ...]:
+    rated = []
+    for dims, (score, factor) in found.items():
         if len(dims) == 1:
             (dim, power), = dims
-            found.append(Unit(factor, dim, power, score + math.log(weights.get(dim, OTHER) if power == 1 else OTHER)))
-    return tuple(sorted(found, key=lambda u: -u.score))
+            rated.append(Unit(factor, dim, power, score + math.log(weights.get(dim, OTHER) if power == 1 else OTHER)))
+    return tuple(sorted(rated, key=lambda u: -u.score))
 
 
 def units(text: str, prior: Mapping[str, float] = LENGTH_OF_TIME) -> tuple[Unit, ...]:
     """The readings of a unit's text, the likeliest first; none for a text that is no unit. Case, blanks and closing points don't matter."""
     bare = re.sub(r"[\s.]+", "", text.casefold())
-    return _segment(bare, tuple(sorted(prior.items()))) if bare and len(bare) <= 40 else ()
+    best = _decompose(bare) if bare else ()
+    return _rated(best[len(bare)], prior) if len(best) == len(bare) + 1 else ()
+
+
+def _seconds(found: tuple[Unit, ...]) -> float | None:
+    return found[0].factor if found and found[0].dimension == "time" and found[0].power == 1 else None
+
+
+def leading_unit(word: str) -> tuple[int, float] | None:
+    """The longest beginning of a word that is a unit of time and isn't followed by a letter of the same word: its size and seconds."""
+    best = _decompose("".join(ch for ch in word if ch != ".").casefold())
+    found, n = None, 0
+    for size, ch in enumerate(word, 1):
+        n += len(ch.casefold()) if ch != "." else 0
+        if n >= len(best):
+            break
+        if (size == len(word) or not ch.isalpha() or not word[size].isalpha()) and (seconds := _seconds(_rated(best[n], LENGTH_OF_TIME))):
+            found = size, seconds
+    return found
 
 
+@lru_cache(maxsize=4096)
 def time_unit(text: str) -> float | None:
     """Seconds of a unit of time; None where the likeliest reading is no unit of time."""
-    found = units(text)
-    return found[0].factor if found and found[0].dimension == "time" and found[0].power == 1 else None
+    return _seconds(units(text))
 
 
 class Reading(NamedTuple):
@@ -159,6 +193,8 @@ _WORDS = {
     20: "twenty zwanzig vingt veinte", 30: "thirty dreißig dreissig trente treinta", 40: "forty vierzig quarante cuarenta", 50: "fifty fünfzig cinquante cincuenta", 60: "sixty sechzig soixante sesenta", 70: "seventy siebzig soixante-dix setenta", 80: "eighty achtzig quatre-vingts quatre-vingt ochenta", 90: "ninety neunzig quatre-vingt-dix noventa",
 }
 _VALUE = {w: v for v, words in _WORDS.items() for w in words.split()}
+# Words for a hundred.
+_HUNDRED = {"hundred", "hundert", "einhundert", "cent", "cents", "cien", "ciento"}
 _QUARTERS = {"quarter": 0.25, "quarters": 0.25, "viertel": 0.25, "quart": 0.25, "quarts": 0.25, "cuarto": 0.25, "cuartos": 0.25, "third": 1 / 3, "thirds": 1 / 3}
 _OF = {"of", "de", "d", "an", "a", "of-an"}
 _AND = {"and", "und", "et", "y", "e"}
@@ -167,6 +203,9 @@ _AND = {"and", "und", "et", "y", "e"}
 def _word_value(word: str) -> float | None:
     if word in _VALUE:
         return _VALUE[word]
+    if m := re.fullmatch(r"(\w*?)hundert(?:und)?(\w*)", word):  # zweihundertzehn
+        a, b = _VALUE.get(m[1]) if m[1] else 1, _word_value(m[2]) if m[2] else 0
+        return a * 100 + b if a is not None and b is not None and 1 <= a < 10 and b < 100 else None
     if m := re.fullmatch(r"(\w+)und(\w+)", word):  # fünfundvierzig
         a, b = _VALUE.get(m[1]), _VALUE.get(m[2])
         return a + b if a and b and a < 10 <= b else None
@@ -188,6 +227,10 @@ def _spoken(text: str) -> float | None:
             flat += [{"halb": "halbe", "viertel": "viertel", "dreiviertel": "dreiviertel"}[m[1]], m[2]]
         elif w:
             flat.append(w)
+    # From each place on, whether a unit follows.
+    ahead = [False] * (len(flat) + 1)
+    for i in range(len(flat) - 1, -1, -1):
+        ahead[i] = ahead[i + 1] or time_unit(flat[i]) is not None
     total, pending, unit, i = 0.0, None, None, 0
     while i < len(flat):
         w = flat[i]
@@ -196,15 +239,18 @@ def _spoken(text: str) -> float | None:
             pending = 0.75
         elif w in _QUARTERS:
             pending = (pending or 1) * _QUARTERS[w]
-            unit_ahead = any(time_unit(x) for x in flat[i + 1 :])
-            if not unit_ahead and unit:  # "an hour and a quarter"
+            if not ahead[i + 1] and unit:  # "an hour and a quarter"
                 total, pending = total + pending * unit, None
+        elif w in _HUNDRED and (pending is None or 1 <= pending < 10):
+            pending = 100.0 * (pending or 1)
         elif (v := _word_value(w)) is not None:
             following = flat[i + 1] if i + 1 < len(flat) else ""
-            if v == 0.5 and not any(time_unit(x) for x in flat[i + 1 :]) and unit:
+            if v == 0.5 and not ahead[i + 1] and unit:
                 total, pending = total + 0.5 * unit, None  # "an hour and a half", "hora y media"
             elif v == 1 and w in ("a", "an", "un", "une", "una", "ein", "eine") and pending is not None:
                 pass  # "half an hour"
+            elif pending is not None and pending >= 100 and pending % 100 == 0 and 1 <= v < 100:
+                pending += v
             elif pending is not None and pending >= 20 and v < 10:
                 pending += v
             elif pending is not None and pending >= 60 and v < 20:
@@ -262,13 +308,10 @@ def _sequence(text: str) -> list[tuple[float, float, float]] | None:
         at = m.end()
         u = word.match(text, at)
         if u:
-            name, factor = u[1], None
-            for size in range(len(name), 0, -1):  # the longest beginning that is a unit
-                if (size == len(name) or not name[size - 1].isalpha() or not name[size].isalpha()) and (factor := time_unit(name[:size])):
-                    break
-            if not factor:
+            if not (led := leading_unit(u[1])):
                 return None
-            at = u.end() - len(name) + size
+            size, factor = led
+            at = u.end() - len(u[1]) + size
         elif parts and parts[-1][1] >= 60:
             factor = parts[-1][1] / 60  # "1h04"
         else:
@@ -289,12 +332,15 @@ def _sequence(text: str) -> list[tuple[float, float, float]] | None:
     return result
 
 
-@lru_cache(maxsize=65536)
 def readings(text: str | None) -> tuple[Reading, ...]:
-    """All readings of a length of time. None, empty, unreadable, zero and negative texts have none; "about" and the like are ignored."""
-    if text is None or len(text) > 200:
+    """All readings of a length of time, however long the text. None, empty, unreadable, zero and negative texts have none; "about" and the like are ignored."""
+    if text is None:
         return ()
-    t = "".join(str(unicodedata.decimal(ch)) if ch.isdecimal() else ch for ch in text)
+    return _cached(text) if len(text) <= 64 else _readings(text)
+
+
+def _readings(text: str) -> tuple[Reading, ...]:
+    t = "".join(str(unicodedata.decimal(ch)) if ch.isdecimal() else ch for ch in text.strip())
     t = t.replace("：", ":").replace("∶", ":").replace("．", ".").replace("，", ",").strip().strip("()[]").strip()
     t = _ABOUT.sub("", t).strip()
     if not t or t[0] in "-−–":
@@ -311,16 +357,16 @@ def readings(text: str | None) -> tuple[Reading, ...]:
         if factor is None:
             return ()
         if d is not None:
-            found.append((int(a) * 86400 + int(b) * 3600 + int(c) * 60 + int(d) + part, "written", 1.0, 1.0))
+            found.append((float(a) * 86400 + float(b) * 3600 + float(c) * 60 + float(d) + part, "written", 1.0, 1.0))
         elif c is not None:
-            found.append((int(a) * 3600 + int(b) * 60 + int(c) + part, "written", 1.0, 1.0))
+            found.append((float(a) * 3600 + float(b) * 60 + float(c) + part, "written", 1.0, 1.0))
         elif fraction or factor in (60.0, 1.0):
-            found.append((int(a) * 60 + int(b) + part, "written", 1.0, 1.0))
+            found.append((float(a) * 60 + float(b) + part, "written", 1.0, 1.0))
         elif factor == 3600.0:
-            found.append((int(a) * 3600 + int(b) * 60, "written", 1.0, 60.0))
+            found.append((float(a) * 3600 + float(b) * 60, "written", 1.0, 60.0))
         else:
-            found.append((int(a) * 60 + int(b), "m:s", 1.0, 1.0))
-            found.append((int(a) * 3600 + int(b) * 60, "h:m", 0.05, 60.0))
+            found.append((float(a) * 60 + float(b), "m:s", 1.0, 1.0))
+            found.append((float(a) * 3600 + float(b) * 60, "h:m", 0.05, 60.0))
     elif re.fullmatch(rf"(?:{_NUMBER})\s*[½¼¾]?", t):
         m = re.fullmatch(rf"({_NUMBER})\s*([½¼¾])?", t)
         for v, whole, p in _figures(m[1]):
@@ -332,7 +378,11 @@ def readings(text: str | None) -> tuple[Reading, ...]:
         found += [(s, "written", p, f) for s, p, f in pairs]
     elif (s := _spoken(t)) is not None:
         found.append((s, "written", 1.0, 60.0))
-    return tuple(Reading(round(s * 1000), u, p, round(f * 1000)) for s, u, p, f in found if 0 < round(s * 1000) < 2**53)
+    return tuple(Reading(round(s * 1000), u, p, round(f * 1000)) for s, u, p, f in found if s < 2**53 / 1000 and round(s * 1000) > 0)
+
+
+#: A cache of short texts, which come again and again.
+_cached = lru_cache(maxsize=65536)(_readings)
 
 
 def mentioned(text: str | None) -> tuple[int, ...]:
@@ -342,7 +392,9 @@ def mentioned(text: str | None) -> tuple[int, ...]:
     found = []
     for m in re.finditer(r"(\d+(?:[.,]\d+)?)(?:\s|-|\u00a0)?([^\W\d_]+)", text):
         if f := time_unit(m[2]):
-            found.append(round(float(m[1].replace(",", ".")) * f * 1000))
+            ms = float(m[1].replace(",", ".")) * f * 1000
+            if ms < 2**53:
+                found.append(round(ms))
     return tuple(found)
 
 

@@ -11,22 +11,22 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.units import best, mentioned, readings
+from ..session import checkpointed
 
-_RESULT = T.StructType(
-    [
-        T.StructField("ms", T.LongType()),
-        T.StructField("unit", T.StringType()),
-        T.StructField("told", T.BooleanType()),
-        T.StructField("shape", T.StringType()),
-        T.StructField("others", T.MapType(T.StringType(), T.LongType())),
-    ]
-)
+_RESULT = [
+    T.StructField("_ms", T.LongType()),
+    T.StructField("_unit", T.StringType()),
+    T.StructField("_told", T.BooleanType()),
+    T.StructField("_shape", T.StringType()),
+    T.StructField("_others", T.MapType(T.StringType(), T.LongType())),
+]
 
 
 def _shape(text: str) -> str:
@@ -41,29 +41,34 @@ def _number(x: object) -> float | None:
     return v if v == v else None
 
 
-def _read(kbit: tuple[float, float], least_bytes: int, usual_ms: tuple[int, int]):
+def _read(kept: Sequence[str], kbit: tuple[float, float], least_bytes: int, usual_ms: tuple[int, int]):
     low, high = kbit
 
-    @F.pandas_udf(_RESULT)
-    def read(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for text, size, context in parts:
-            rows = []
-            for t, b, c in zip(text, size, context, strict=True):
-                options = readings(t) if isinstance(t, str) else ()
-                if not options:
-                    rows.append((None, None, None, None, None))
-                    continue
-                n = _number(b)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # Each different text is read once; only what it leaves open is looked at row by row.
+            texts = batch.column("_text").dictionary_encode()
+            found = [readings(t) for t in texts.dictionary.to_pylist()] + [()]
+            at = texts.indices.fill_null(len(found) - 1).to_numpy(zero_copy_only=False)
+            settled = [o[0] if len(o) == 1 and o[0].unit == "written" else None for o in found]
+            ms = pa.array([r and r.ms for r in settled], pa.int64()).take(pa.array(at)).to_pylist()
+            written = np.array([r is not None for r in settled])[at]
+            unit = np.where(written, "written", None)
+            told, shape, others = np.where(written, True, None), np.full(len(at), None), np.full(len(at), None)
+            rows = np.flatnonzero(np.array([r is None and bool(o) for r, o in zip(settled, found, strict=True)])[at])
+            some = batch.take(pa.array(rows))
+            for i, t, b, c in zip(rows.tolist(), *(some.column(n).to_pylist() for n in ("_text", "_size", "_context")), strict=True):
+                options, n = found[at[i]], _number(b)
                 has = n is not None and n >= least_bytes
-                chosen, told = best(options, n * 8 / high if has else None, n * 8 / low if has else None, mentioned(c) if not has and len(options) > 1 and isinstance(c, str) else (), usual_ms=usual_ms)
-                if chosen.unit == "written":
-                    rows.append((chosen.ms, "written", True, None, None))
-                else:
-                    rows.append((chosen.ms, chosen.unit, told, _shape(t), None if told else {r.unit: r.ms for r in reversed(options) if usual_ms[0] <= r.ms <= usual_ms[1]}))
-            yield pd.DataFrame(rows, columns=["ms", "unit", "told", "shape", "others"])
+                chosen, sure = best(options, n * 8 / high if has else None, n * 8 / low if has else None, mentioned(c) if not has and len(options) > 1 and isinstance(c, str) else (), usual_ms=usual_ms)
+                ms[i], unit[i], told[i] = chosen.ms, chosen.unit, True
+                if chosen.unit != "written":
+                    told[i], shape[i] = sure, _shape(t)
+                    others[i] = None if sure else list({r.unit: r.ms for r in reversed(options) if usual_ms[0] <= r.ms <= usual_ms[1]}.items())
+            columns = [pa.array(ms, pa.int64()), pa.array(unit, pa.string()), pa.array(told, pa.bool_()), pa.array(shape, pa.string()), pa.array(list(others), pa.map_(pa.string(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *columns], names=[*kept, *(f.name for f in _RESULT)])
 
-    # Otherwise the optimizer copies the call into every filter and projection above it.
-    return read.asNondeterministic()
+    return run
 
 
 def lengths(
@@ -91,20 +96,23 @@ def lengths(
     length one of ``usual_ms``.
     Repeated rows each get their result; other columns, whatever their names, are ignored.
     """
-    read = _read(kbit, least_bytes, usual_ms)
-    rows = df.select(*[F.col(k).alias(f"_k_{k}") for k in keep], F.col(source).alias("_source"), read(F.col(text).cast("string"), F.col(size).cast("string"), F.col(context).cast("string")).alias("_r"))
+    kept = [*[f"_k_{k}" for k in keep], "_source"]
+    inputs = df.select(*[F.col(k).alias(f"_k_{k}") for k in keep], F.col(source).alias("_source"), *[F.col(c).cast("string").alias(n) for c, n in ((text, "_text"), (size, "_size"), (context, "_context"))])
+    schema = T.StructType([*[f for f in inputs.schema.fields if f.name in kept], *_RESULT])
+    # Read once and written down: habits are counted from it before it is judged by them.
+    rows = checkpointed(inputs.mapInArrow(_read(kept, kbit, least_bytes, usual_ms), schema))
     # A source's counts are summed before the shuffle: one row for each source, shape and unit.
-    seen = rows.where(F.col("_r.told") & F.col("_r.shape").isNotNull()).groupBy("_source", F.col("_r.shape").alias("_shape"), F.col("_r.unit").alias("_unit")).agg(F.count(F.lit(1)).alias("_n"))
+    seen = rows.where("_told AND _shape IS NOT NULL").groupBy("_source", "_shape", "_unit").agg(F.count(F.lit(1)).alias("_n"))
     habit = (
         seen.groupBy("_source", "_shape")
         .agg(F.sum("_n").alias("_all"), F.max(F.struct("_n", "_unit")).alias("_top"))
         .where((F.col("_top._n") >= habit_rows) & (F.col("_top._n") >= habit_share * F.col("_all")))
         .select(F.col("_source").alias("_h_source"), F.col("_shape").alias("_h_shape"), F.col("_top._unit").alias("_h_unit"))
     )
-    joined = rows.join(habit, (F.col("_source") == F.col("_h_source")) & (F.col("_r.shape") == F.col("_h_shape")) & ~F.col("_r.told"), "left")
-    by_habit = F.try_element_at(F.col("_r.others"), F.col("_h_unit"))
+    joined = rows.join(habit, (F.col("_source") == F.col("_h_source")) & (F.col("_shape") == F.col("_h_shape")) & ~F.col("_told"), "left")
+    by_habit = F.try_element_at(F.col("_others"), F.col("_h_unit"))
     return joined.select(
         *[F.col(f"_k_{k}").alias(k) for k in keep],
-        F.coalesce(by_habit, F.col("_r.ms")).alias("length_ms"),
-        F.when(by_habit.isNotNull(), F.col("_h_unit")).otherwise(F.col("_r.unit")).alias("length_unit"),
+        F.coalesce(by_habit, F.col("_ms")).alias("length_ms"),
+        F.when(by_habit.isNotNull(), F.col("_h_unit")).otherwise(F.col("_unit")).alias("length_unit"),
     )

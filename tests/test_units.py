@@ -12,7 +12,8 @@ from earshot.operators.units import lengths
         ("PT10M2S", 602_000), ("p0dt1h11m37s", 4_297_000), ("10分43秒", 643_000), ("1時間5分", 3_900_000), ("12M 4S", 724_000), ("about 1 minutes", 60_000), ("~110 min", 6_600_000), ("ca. 79 Min.", 4_740_000),
         ("00:00:50,750", 50_750), ("1,5 min", 90_000), ("39′24″", 2_364_000), ("66'15\"", 3_975_000), ("9m19s", 559_000), ("1076000 ms", 1_076_000), ("1½ h", 5_400_000), ("unos 89 min", 5_340_000), ("2h20", 8_400_000), ("1h04", 3_840_000),
         ("half an hour", 1_800_000), ("Three quarters of an hour", 2_700_000), ("an hour and a half", 5_400_000), ("two and a half hours", 9_000_000), ("eine Dreiviertelstunde", 2_700_000), ("Anderthalb Stunden", 5_400_000), ("eine halbe Stunde", 1_800_000),
-        ("Trois quarts d'heure", 2_700_000), ("une demi-heure", 1_800_000), ("Una hora y media", 5_400_000), ("media hora", 1_800_000), ("zwanzig Minuten", 1_200_000), ("forty-five minutes", 2_700_000), ("0,09 Std.", 324_000), ("1 hrs, 8 mins", 4_080_000),
+        ("Trois quarts d'heure", 2_700_000), ("une demi-heure", 1_800_000), ("Una hora y media", 5_400_000), ("media hora", 1_800_000), ("zwanzig Minuten", 1_200_000), ("forty-five minutes", 2_700_000), ("hundertzwanzig Minuten", 7_200_000), ("zweihundert Sekunden", 200_000), ("ciento veinte minutos", 7_200_000), ("cent vingt minutes", 7_200_000), ("one hundred and five minutes", 6_300_000), ("two hundred seconds", 200_000),
+        (" " * 500 + "1 h 2 min" + " " * 500, 3_720_000), ("about " * 200 + "5 min", 300_000), ("1 Std. 2 Min.", 3_720_000), ("0,09 Std.", 324_000), ("1 hrs, 8 mins", 4_080_000),
     ],
 )
 def test_written(text, ms):
@@ -20,7 +21,7 @@ def test_written(text, ms):
     assert [(r.ms, r.unit) for r in found] == [(ms, "written")]
 
 
-@pytest.mark.parametrize("text", [None, "", "  ", "TBA", "n/a min", "a:b", "--:--", "NaN", "-12:30", "-1", "0", "00:00", "?", "null", "x" * 500])
+@pytest.mark.parametrize("text", [None, "", "  ", "TBA", "n/a min", "a:b", "--:--", "NaN", "-12:30", "-1", "0", "00:00", "?", "null", "x" * 500, "9" * 5000, "1:" + "9" * 5000, "5 " + "s" * 50_000, "5 " + "minutes" * 20_000, "half " * 20_000, "1" * 50_000 + " min"])
 def test_no_length(text):
     assert readings(text) == ()
 
