@@ -40,7 +40,8 @@ def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str, b
     events = (
         ranges.select("_k", F.explode(F.array(F.struct(F.col("_s").alias("at"), F.lit(1).alias("d")), F.struct(F.col("_e").alias("at"), F.lit(-1).alias("d")))).alias("_v"))
         .select("_k", F.col("_v.at").alias("_at"), F.col("_v.d").cast("bigint").alias("_d"))
-        .withColumn("_b", F.expr(f"_at div {block_ms} - IF(_at % {block_ms} < 0, 1, 0)"))
+        # Never null, as the planner should know: else it filters one of two equal inputs, and computes both.
+        .withColumn("_b", F.expr(f"COALESCE(_at div {block_ms} - IF(_at % {block_ms} < 0, 1, 0), 0)"))
         .groupBy("_k", "_b", "_at")
         .agg(F.sum("_d").alias("_d"))
     )
