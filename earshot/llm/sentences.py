@@ -475,15 +475,27 @@ def _line(line: str, table: _Table, terminators: re.Pattern, thai: bool) -> Iter
             continue
         if b == size:
             break
-        # Most often a word of no abbreviation, one mark, one blank and a capital, which by the rules below is an end.
-        if b - a == 1 and line[b : b + 1] == " " and line[b + 1 : b + 2].isupper() and line[b + 1].isalpha() and line[a] in ".!?" and quoted is None:
-            word = line[line.rfind(" ", head, a) + 1 : a]
-            if line[a] != "." or (len(word) > 2 and word.isalpha() and word.casefold() not in table.every):
-                yield begin, b
-                begin = head = b + 1
-                if read:
-                    read.chains.clear()
-                continue
+        # Most candidates are plain, and what the rules below say of them is known at once.
+        if b - a == 1 and quoted is None and (mark := line[a]) in ".!?":
+            after = line[b]
+            if after == " ":
+                after = line[b + 1 : b + 2]
+                if after.isupper() and after.isalpha():
+                    # A word of no abbreviation and a capital.
+                    word = line[line.rfind(" ", head, a) + 1 : a]
+                    if mark != "." or (len(word) > 2 and word.isalpha() and word.casefold() not in table.every):
+                        yield begin, b
+                        begin = head = b + 1
+                        if read:
+                            read.chains.clear()
+                        continue
+                elif mark == "." and after.islower():
+                    # A small letter that begins no host's name.
+                    stop = line.find(" ", b + 1)
+                    if line.find(".", b + 1, stop if stop > 0 else size) < 0:
+                        continue
+            elif mark == "." and (after.islower() or (after.isdigit() and line[a - 1].isdigit())):
+                continue  # within a name or a figure
         read = read or _Line(line, table)
         if quoted != _BLANK and not read.ends(head, a, b, quoted):
             continue
