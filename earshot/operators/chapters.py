@@ -22,13 +22,15 @@ def default_chapters(lengths: DataFrame) -> DataFrame:
     return lengths.where(d.isNotNull()).select("episode_id", F.inline(F.array(*parts)))
 
 
-def repair_chapters(chapters: DataFrame, lengths: DataFrame, order: str, least_ms: int = 10_000) -> DataFrame:
+def repair_chapters(chapters: DataFrame, lengths: DataFrame, order: str, least_ms: int = 10_000, defaults: bool = False) -> DataFrame:
     """Chapters without gaps and overlaps.
 
     Per episode, by start and ``order``: a first start after 0 becomes 0 (a negative one stays), a
     last end before the episode's end becomes that, every other start becomes the previous end, and
     what is then shorter than ``least_ms`` is dropped. No step changes an end that a later one reads,
-    so all of it is one window. Rows with a null bound are no chapters.
+    so all of it is one window. Rows with a null bound are no chapters. With ``defaults`` an episode of
+    ``lengths`` that has no chapters gets the :func:`default_chapters`, as they are; columns that those
+    don't have are null.
     """
     usable = chapters.where("start_ms IS NOT NULL AND end_ms IS NOT NULL")
     w = Window.partitionBy("episode_id").orderBy("start_ms", order)
@@ -36,7 +38,13 @@ def repair_chapters(chapters: DataFrame, lengths: DataFrame, order: str, least_m
     start = F.when(F.col("_n") == 1, F.least("start_ms", F.lit(0).cast("bigint"))).otherwise(F.col("_previous"))
     end = F.when(F.col("_last"), F.greatest("end_ms", "duration_ms")).otherwise(F.col("end_ms"))
     repaired = placed.withColumn("_start", start).withColumn("_end", end)
-    return repaired.where(F.col("_end") - F.col("_start") >= least_ms).select(*[c for c in chapters.columns if c not in ("start_ms", "end_ms")], F.col("_start").alias("start_ms"), F.col("_end").alias("end_ms"))
+    kept = [c for c in chapters.columns if c not in ("start_ms", "end_ms")]
+    repaired = repaired.where(F.col("_end") - F.col("_start") >= least_ms).select(*kept, F.col("_start").alias("start_ms"), F.col("_end").alias("end_ms"))
+    if not defaults:
+        return repaired
+    bare = lengths.join(usable.select("episode_id").distinct(), "episode_id", "left_anti")
+    made = default_chapters(bare).select(*[c for c in repaired.columns if c in ("episode_id", "chapter_type", "title", "summary", "start_ms", "end_ms")])
+    return repaired.unionByName(made, allowMissingColumns=True)
 
 
 def midpoint_chapter(segments: DataFrame, chapters: DataFrame, segment: str, chapter: str) -> DataFrame:

@@ -54,9 +54,58 @@ def is_advertisement(answer: Column) -> Column:
     return F.coalesce(F.upper(F.trim(answer)) == "ADVERTISEMENT", F.lit(False))
 
 
-def context_or_default(answer: Column, title: Column, start_label: Column) -> Column:
-    """A model's description of an excerpt, else a sentence from what is known."""
-    return F.coalesce(F.nullif(F.trim(answer), F.lit("")), F.concat(F.lit("An excerpt of "), F.coalesce(title, F.lit("an episode")), F.lit(" from "), start_label, F.lit(".")))
+def _answer_or(answer: Column, fallback: Column) -> Column:
+    """What the model says, an empty text too; the fallback only where it failed."""
+    return F.coalesce(answer, fallback)
+
+
+def segment_context(answer: Column, series_title: Column, episode_title: Column, kind: Column, start_label: Column) -> Column:
+    """A model's description of a segment, else a sentence from what is known."""
+    return _answer_or(answer, F.format_string('Segment from "%s" episode "%s". %s at %s.', series_title, episode_title, kind, start_label))
+
+
+def chunk_context(answer: Column, series_title: Column, episode_title: Column, label: Column) -> Column:
+    """A model's description of a chunk of one speaker, else a sentence from what is known."""
+    return _answer_or(answer, F.format_string("Transcript chunk from %s - %s, spoken by %s", series_title, episode_title, label))
+
+
+# How much of a text a model is shown.
+SHOWN = {"sample": 200, "chapter": 6000, "segment": 2000, "advertisement": 2000, "chunk": 1500}
+
+
+def shown(text: Column, what: str) -> Column:
+    """The part of a text that a model is asked about."""
+    return F.left(text, F.lit(SHOWN[what]))
+
+
+def request(**fields: Column) -> Column:
+    """A request's facts as JSON; null ones are left out. Wording a prompt from them is the provider's part."""
+    return F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
+
+
+_SPEAKERS = "struct<speakers: array<struct<id: string, name: string, role: string, reasoning: string>>>"
+_CHAPTERS = "struct<chapters: array<struct<type: string, title: string, summary: string, start_sec: double, end_sec: double>>>"
+_SEGMENTS = "struct<segments: array<struct<type: string, start_sec: double, end_sec: double, lucidity: double, polarity: double, arousal: double, subjectivity: double, humor: double>>>"
+
+
+def _parsed(df: DataFrame, answer: str, schema: str, field: str, keep: Sequence[str]) -> DataFrame:
+    rows = df.withColumn("_a", F.from_json(answer, schema, {"mode": "PERMISSIVE"})).where(F.col(f"_a.{field}").isNotNull())
+    return rows.select(*keep, F.posexplode(f"_a.{field}").alias("place", "_x")).select(*keep, F.col("place").cast("bigint").alias("place"), "_x.*")
+
+
+def parse_speakers(df: DataFrame, answer: str, keep: Sequence[str]) -> DataFrame:
+    """The speakers in a model's answers, one row each with its ``place``; null and unreadable answers give none."""
+    return _parsed(df, answer, _SPEAKERS, "speakers", keep)
+
+
+def parse_chapters(df: DataFrame, answer: str, keep: Sequence[str]) -> DataFrame:
+    """The chapters in a model's answers, one row each with its ``place``; null and unreadable answers give none."""
+    return _parsed(df, answer, _CHAPTERS, "chapters", keep)
+
+
+def parse_segments(df: DataFrame, answer: str, keep: Sequence[str]) -> DataFrame:
+    """The segments in a model's answers, one row each with its ``place``; null and unreadable answers give none, as the fallback has it."""
+    return _parsed(df, answer, _SEGMENTS, "segments", keep)
 
 
 def palette_roles(swatch) -> list[Column]:

@@ -18,17 +18,34 @@ from .scans import lagged, ordinals, running_sum
 STRETCH_MS = 1_800_000
 
 
-def utterances(segments: DataFrame) -> DataFrame:
-    """Transcript rows as utterances in order: each segment_id once (the first ingested), by start, end and id.
+def utterances(segments: DataFrame, text: bool = True, label: bool = True, ordered: bool = True, raw: bool = False) -> DataFrame:
+    """Transcript rows as utterances: each segment_id once (the first ingested), numbered by start, end and id (``ord``).
 
-    As in the queries' SQL, null is one segment_id: of all rows without an id the first ingested is kept.
+    Rows without a segment_id are an utterance each. Leave out what isn't needed: without ``text`` no
+    text is read and moved, without ``ordered`` utterances aren't numbered. ``raw`` adds the columns as
+    stored: start_time, end_time, transcript and speaker_label.
     """
-    single = segments.groupBy("segment_id").agg(F.min(F.struct("ingested_at", "episode_id", "start_time", "end_time", "transcript", "speaker_label")).alias("r")).select("segment_id", "r.*")
-    rows = single.select("episode_id", "segment_id", clock_ms(F.col("start_time")).alias("start_ms"), clock_ms(F.col("end_time")).alias("end_ms"), F.coalesce("transcript", F.lit("")).alias("text"), F.coalesce(present(F.trim("speaker_label")), F.lit("unknown")).alias("label"))
+    columns = ["episode_id", "start_time", "end_time", *["transcript"] * (text or raw), *["speaker_label"] * (label or raw)]
+    own = F.when(F.col("segment_id").isNull(), F.monotonically_increasing_id())
+    single = segments.groupBy("segment_id", own.alias("_own")).agg(F.min(F.struct("ingested_at", *columns)).alias("r")).select("segment_id", "r.*").drop("ingested_at")
+    rows = single.withColumn("start_ms", clock_ms(F.col("start_time"))).withColumn("end_ms", clock_ms(F.col("end_time")))
+    made = ["episode_id", "segment_id", "start_ms", "end_ms"]
+    if text:
+        rows, made = rows.withColumn("text", F.coalesce("transcript", F.lit(""))), [*made, "text"]
+    if label:
+        rows, made = rows.withColumn("label", F.coalesce(present(F.trim("speaker_label")), F.lit("unknown"))), [*made, "label"]
+    rows = rows.select(*made, *["start_time", "end_time", "transcript", "speaker_label"] * raw)
+    if not ordered:
+        return rows
     block = F.coalesce(F.floor(F.col("start_ms") / STRETCH_MS).cast("bigint"), F.lit(2**40))
     return ordinals(rows.withColumn("_block", block), ["episode_id"], "_block", [F.col("start_ms").asc_nulls_last(), F.col("end_ms").asc_nulls_last(), "segment_id"]).drop("_block")
 
 
+def times(segments: DataFrame) -> DataFrame:
+    """Where the rows of a transcript are, copies too: episode_id, start_ms and end_ms."""
+    return segments.select("episode_id", clock_ms(F.col("start_time")).alias("start_ms"), clock_ms(F.col("end_time")).alias("end_ms"))
+
+
 def labels_in_order(rows: DataFrame) -> DataFrame:
     """Each episode's distinct labels in the order of their first utterance: episode_id, label, first_ord, place (from 0)."""
     first = rows.groupBy("episode_id", "label").agg(F.min("ord").alias("first_ord"))
@@ -69,6 +86,11 @@ def targets(lengths: DataFrame) -> DataFrame:
     return lengths.select("episode_id", "duration_ms", clamp(half_up(minutes / 4), 5, 15).cast("bigint").alias("chapters"), clamp(half_up(hours * 40), 20, 60).cast("bigint").alias("segments"))
 
 
+def part_of_target(start_ms: Column, end_ms: Column, duration_ms: Column, target: Column) -> Column:
+    """A chapter's part of the episode's target, at least 1."""
+    return F.greatest(F.lit(1).cast("bigint"), half_up((end_ms - start_ms) / duration_ms * target))
+
+
 def named(rows: DataFrame, speakers: DataFrame) -> DataFrame:
     """Utterances with their speaker's name; the label stands in for a missing or empty one."""
     return rows.join(speakers.select("episode_id", "label", F.col("name").alias("_name")), ["episode_id", "label"], "left").withColumn("name", F.coalesce(present(F.col("_name")), F.col("label"))).drop("_name")

@@ -6,4 +6,4 @@ from . import feeds, general, podcast, streams
 
 QUERIES = {**general.QUERIES, **feeds.QUERIES, **podcast.QUERIES, **streams.QUERIES}
 SQL = {**general.SQL, **feeds.SQL, **podcast.SQL, **streams.SQL}
-FLAGSHIP = "flagship_fallback_pipeline"
+FLAGSHIP = "transcript_processing"
