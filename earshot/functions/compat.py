@@ -43,8 +43,8 @@ def clamp(x: Column, low: object, high: object) -> Column:
 
 
 def leading_int(text: Column) -> Column:
-    """The whole number at a text's beginning, null if there is none."""
-    return F.regexp_extract(text, r"^\s*([+-]?\d{1,18})", 1).try_cast("bigint")
+    """The whole number at a text's beginning, null if there is none or it is beyond 64 bits."""
+    return F.regexp_extract(text, r"^\s*([+-]?\d+)", 1).try_cast("bigint")
 
 
 def leading_number(text: Column) -> Column:
@@ -54,7 +54,7 @@ def leading_number(text: Column) -> Column:
 
 def fixed(x: Column, digits: int) -> Column:
     """A number as text with so many decimals."""
-    return F.format_string(f"%.{digits}f", x)
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits}f", x))
 
 
 def fit_inside(width: Column, height: Column, max_width: Column, max_height: Column) -> tuple[Column, Column]:
@@ -92,8 +92,9 @@ def utf16_length(text: Column) -> Column:
 
 
 def query_value(text: Column) -> Column:
-    """Encoded as the value of a query string, with %20 for a blank."""
-    return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    """Encoded as the value of a query string: %20 for a blank, and letters, digits and ``-_.!~*'()`` as they are."""
+    plain = {"+": "%20", "%21": "!", "%27": "'", "%28": "(", "%29": ")", "%7E": "~"}
+    return reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), plain.items(), F.url_encode(text))
 
 
 def base64_line(data: Column) -> Column:
@@ -117,12 +118,13 @@ def clock_ms(text: Column) -> Column:
 
     def ms(number: Column) -> Column:
         seconds = number.try_cast("double")
-        return F.when(F.abs(seconds) < 1e12, F.floor(seconds * 1000 + 0.5).cast("bigint"))
+        # Beyond 2**53 a number of milliseconds isn't whole any more.
+        return F.when(F.abs(seconds) < 2**53 / 1000, F.floor(seconds * 1000 + 0.5).cast("bigint"))
 
     # One small expression for the rest: generated code that grows too large isn't compiled.
-    bare = F.regexp_extract(F.translate(text, ",", "."), r"^\s*((?:\d{1,9}:){0,2}\d{1,9}(?:\.\d*)?|-\d{1,9}(?:\.\d*)?)\s*s?\s*$", 1)
+    bare = F.regexp_extract(F.translate(text, ",", "."), r"^\s*((?:\d+:){0,2}\d+(?:\.\d*)?|-\d+(?:\.\d*)?)\s*s?\s*$", 1)
     folded = F.aggregate(F.split(bare, ":"), F.lit(0.0), lambda total, part: total * 60 + part.try_cast("double"))
-    return F.coalesce(ms(text), F.floor(folded * 1000 + 0.5).cast("bigint"))
+    return F.coalesce(ms(text), F.when(F.abs(folded) < 2**53 / 1000, F.floor(folded * 1000 + 0.5).cast("bigint")))
 
 
 def minutes_label(seconds: Column) -> Column:
@@ -136,7 +138,7 @@ def plain_duration(text: Column) -> Column:
     parts = F.split(text, ":")
     n = F.size(parts)
     p = [leading_int(F.try_element_at(parts, F.lit(i))) for i in (1, 2, 3)]
-    return F.when(text.rlike(r"^\d{1,18}$"), text.try_cast("bigint")).when(n == 3, p[0] * 3600 + p[1] * 60 + p[2]).when(n == 2, p[0] * 60 + p[1])
+    return F.when(text.rlike(r"^\d+$"), text.try_cast("bigint")).when(n == 3, p[0] * 3600 + p[1] * 60 + p[2]).when(n == 2, p[0] * 60 + p[1])
 
 
 def feed_date(text: Column) -> Column:

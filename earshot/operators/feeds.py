@@ -24,6 +24,25 @@ ITEM = T.StructType(
 )
 
 
+#: A feed's header as its XML has it.
+HEADER = T.StructType(
+    [
+        *[T.StructField(n, T.StringType()) for n in ("title", "description", "link", "language", "copyright", "lastBuildDate")],
+        T.StructField("image", T.StructType([T.StructField("url", T.StringType())])),
+        *[T.StructField(f"itunes:{n}", T.StringType()) for n in ("author", "explicit", "type", "subtitle", "summary")],
+        T.StructField("itunes:owner", T.StructType([T.StructField("itunes:name", T.StringType()), T.StructField("itunes:email", T.StringType())])),
+        T.StructField("itunes:image", T.StructType([T.StructField("_href", T.StringType())])),
+    ]
+)
+
+
+def category_names(xml: Column) -> Column:
+    """The names of a feed's categories nested to any depth, a parent before its children, for that is their order in the text; empty ones are left out."""
+    found = F.regexp_extract_all(xml, F.lit(r"<(?:itunes:)?category\b[^>]*?\btext\s*=\s*(\"[^\"]*\"|'[^']*')"), F.lit(1))
+    plain = lambda t: F.replace(F.replace(F.replace(F.replace(F.replace(F.substring(t, F.lit(2), F.length(t) - 2), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&apos;"), F.lit("'")), F.lit("&amp;"), F.lit("&"))
+    return F.filter(F.transform(found, plain), lambda t: t != "")
+
+
 def category_type(depth: int = 4) -> T.StructType:
     """A category with its children to a fixed depth; Spark has no recursive types."""
     fields = [T.StructField("_text", T.StringType()), T.StructField("_VALUE", T.StringType())]
@@ -33,7 +52,10 @@ def category_type(depth: int = 4) -> T.StructType:
 
 
 def flatten_categories(categories: Column, depth: int = 4) -> Column:
-    """The categories' own names and their children's, a parent before its children; empty names are left out."""
+    """The categories' own names and their children's, a parent before its children; empty names are left out.
+
+    ``depth`` is that of the columns' type (see :func:`category_names` for text that nests to any depth).
+    """
     if depth < 1:
         return F.array().cast("array<string>")
 

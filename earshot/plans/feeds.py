@@ -144,6 +144,51 @@ def enqueue_messages(spark: SparkSession, folder: str) -> DataFrame:
 ENQUEUE = f"""WITH {_UPSERT} SELECT 'audio-download' AS queue_name, '{{"episodeId":"' || episode_id || '"}}' AS body FROM m WHERE action <> 'kept' AND nullif(enclosure_url, '') IS NOT NULL AND (action = 'inserted' OR processing_status = 'pending')"""
 
 
+def image_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages for pictures to download: of series and of upserted episodes that have an address for one but no medium yet."""
+    body = lambda kind, key, url: F.to_json(F.struct(F.lit(kind).alias("type"), F.col(key).alias("id"), F.col(url).alias("imageUrl")))
+    series = table(spark, folder, "podcast_series").where("image_url <> '' AND coalesce(image_media_id, '') = ''")
+    keyed = table(spark, folder, "feed_items").where("series_id IS NOT NULL AND guid IS NOT NULL AND guid <> ''")
+    newest = first_match(keyed, ["series_id", "guid"], [F.col("fetched_at").desc(), F.col("item_row_id").desc()]).select("series_id", "guid", "itunes_image_href")
+    episodes = _upserted(spark, folder).where("action <> 'kept' AND coalesce(image_media_id, '') = ''").join(newest, ["series_id", "guid"]).where("itunes_image_href <> ''")
+    queue = F.lit("image-download").alias("queue_name")
+    return series.select(queue, body("series", "series_id", "image_url").alias("body")).unionByName(episodes.select(queue, body("episode", "episode_id", "itunes_image_href").alias("body")))
+
+
+_BODY = """'{{"type":"{0}","id":' || to_json({1})::VARCHAR || ',"imageUrl":' || to_json({2})::VARCHAR || '}}'"""
+IMAGE_MESSAGES = f"""WITH {_UPSERT}, h AS (SELECT series_id, guid, itunes_image_href FROM (SELECT *, row_number() OVER (PARTITION BY series_id, guid ORDER BY fetched_at DESC, item_row_id DESC) k FROM feed_items WHERE series_id IS NOT NULL AND guid <> '') WHERE k = 1)
+SELECT 'image-download' AS queue_name, {_BODY.format("series", "series_id", "image_url")} AS body FROM podcast_series WHERE image_url <> '' AND coalesce(image_media_id, '') = ''
+UNION ALL SELECT 'image-download', {_BODY.format("episode", "m.episode_id", "itunes_image_href")} FROM m JOIN h USING (series_id, guid) WHERE action <> 'kept' AND coalesce(m.image_media_id, '') = '' AND itunes_image_href <> ''"""
+
+
+def series_update(spark: SparkSession, folder: str) -> DataFrame:
+    """Series after their feeds' headers are put in: what the feed has replaces, what it lacks stays, the picture's medium is kept."""
+    old = table(spark, folder, "podcast_series").where("series_id IS NOT NULL").select("series_id", "title", "description", "image_url", "author", "image_media_id")
+    # A feed that was fetched again: every third series, with a new title, no description and another picture.
+    fetched = old.where(F.ascii("series_id") % 3 == 0)
+    feed = {"title": F.concat(F.lit("New "), F.col("title")), "description": F.lit("").cast("string"), "image_url": F.concat(F.lit("https://new.example/"), F.col("series_id")), "author": F.col("author")}
+    new = fetched.select("series_id", *E.series_row(feed, F.col("title")))
+    return E.upsert(old, new, ["series_id"], ["title", "description", "image_url", "author"], [], {})
+
+
+SERIES_UPDATE = """SELECT series_id, CASE WHEN u THEN coalesce('New ' || title, title) ELSE title END AS title, description, CASE WHEN u THEN 'https://new.example/' || series_id ELSE image_url END AS image_url,
+  CASE WHEN u THEN coalesce(nullif(author, ''), author) ELSE author END AS author, image_media_id, CASE WHEN u THEN 'updated' ELSE 'kept' END AS action FROM (SELECT *, ascii(series_id) % 3 = 0 AS u FROM podcast_series WHERE series_id IS NOT NULL)"""
+
+
+def image_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows for pictures of series and feed items: name by kind and identifier, type by the address."""
+    series = table(spark, folder, "podcast_series").where("image_url <> ''").select(F.lit("series").alias("kind"), F.col("series_id").alias("id"), F.col("image_url").alias("url"))
+    items = table(spark, folder, "feed_items").where("itunes_image_href <> ''").select(F.lit("episode").alias("kind"), F.col("item_row_id").cast("string").alias("id"), F.col("itunes_image_href").alias("url"))
+    rows = series.unionByName(items).withColumn("ext", K.file_extension(F.col("url"), F.lit(None).cast("string"), "image"))
+    return rows.select("kind", "id", F.concat("kind", F.lit("-"), F.left("id", F.lit(8)), F.lit("."), F.col("ext")).alias("name"), "ext", K.image_mime(F.col("ext")).alias("mime"))
+
+
+_IMAGE_PATH = "lower(regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '([^.]*)$', 1))"
+IMAGE_ROWS = f"""WITH r AS (SELECT 'series' AS kind, series_id AS id, image_url AS url FROM podcast_series WHERE image_url <> '' UNION ALL SELECT 'episode', item_row_id::VARCHAR, itunes_image_href FROM feed_items WHERE itunes_image_href <> ''),
+x AS (SELECT *, CASE WHEN {_IMAGE_PATH} = 'jpeg' THEN 'jpg' WHEN {_IMAGE_PATH} IN ('jpg', 'png', 'gif', 'webp', 'svg') THEN {_IMAGE_PATH} ELSE 'jpg' END AS ext FROM r)
+SELECT kind, id, kind || '-' || left(id, 8) || '.' || ext AS name, ext, CASE ext WHEN 'png' THEN 'image/png' WHEN 'gif' THEN 'image/gif' WHEN 'webp' THEN 'image/webp' WHEN 'svg' THEN 'image/svg+xml' ELSE 'image/jpeg' END AS mime FROM x"""
+
+
 def run_counters(spark: SparkSession, folder: str) -> DataFrame:
     """What a run of the upsert did."""
     return _upserted(spark, folder).groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("image_media_id").isNull()).alias("n_without_image"))
@@ -355,16 +400,45 @@ def category_flatten(spark: SparkSession, folder: str) -> DataFrame:
 CATEGORIES = "SELECT n_nationkey, r_name || '>' || n_name || '>Other' AS names FROM nation JOIN region ON n_regionkey = r_regionkey"
 
 
+_FORMATS = ["jpg", "png", "webp"]
+
+
 def blob_fallback(spark: SparkSession, folder: str) -> DataFrame:
-    """The best picture that each series has in the store."""
-    series = table(spark, folder, "podcast_series").where("image_media_id IS NOT NULL").select("image_media_id")
+    """The base file of every series' picture in each format; of some series the store has jpg, png, both or nothing, and of some a webp that is no base."""
+    series = table(spark, folder, "podcast_series").where("image_media_id IS NOT NULL").select("image_media_id").distinct()
     n = F.ascii(F.substring("image_media_id", 1, 1)) % 4
-    stored = series.select(F.explode(F.filter(F.array(F.when(n == 0, F.lit("webp")), F.when(n <= 1, F.lit("jpg")), F.when(n <= 2, F.lit("png"))), lambda x: x.isNotNull())).alias("kind"), "image_media_id")
+    stored = series.select("image_media_id", F.explode(F.filter(F.array(F.when(n <= 1, F.lit("jpg")), F.when((n == 1) | (n == 2), F.lit("png")), F.when(n == 3, F.lit("webp"))), lambda x: x.isNotNull())).alias("kind"))
     available = stored.select(F.concat(F.lit("processed/"), F.col("image_media_id"), F.lit("/base."), F.col("kind")).alias("path"))
-    return blob_with_fallback(series, available, "image_media_id")
+    wanted = series.select("image_media_id", F.explode(F.array(*[F.lit(f) for f in _FORMATS])).alias("format"))
+    return blob_with_fallback(wanted, available, "image_media_id")
+
+
+BLOBS = """WITH m AS (SELECT DISTINCT image_media_id, ascii(image_media_id[1]) % 4 AS n FROM podcast_series WHERE image_media_id IS NOT NULL),
+b AS (SELECT image_media_id, format, CASE WHEN format = 'png' THEN CASE WHEN n IN (1, 2) THEN 'png' END WHEN n <= 1 THEN 'jpg' WHEN n = 2 THEN 'png' END AS k FROM m, (VALUES ('jpg'), ('png'), ('webp')) f(format))
+SELECT image_media_id, format, 'processed/' || image_media_id || '/base.' || k AS path, CASE WHEN k IS NULL THEN 'no such picture' END AS error FROM b"""
+
+
+def category_any_depth(spark: SparkSession, folder: str) -> DataFrame:
+    """Names of categories that nest as deep as a nation's number, from a feed's text."""
+    nations = table(spark, folder, "nation")
+    deep = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n_nationkey")), lambda i: F.concat(F.lit('<itunes:category text="C'), i.cast("string"), F.lit(' &amp; so">'))), "")
+    closing = F.repeat(F.lit("</itunes:category>"), F.col("n_nationkey") + 1)
+    xml = F.concat(F.lit("<channel>"), deep, closing, F.lit("<itunes:category text='Last'/></channel>"))
+    return nations.select("n_nationkey", F.array_join(E.category_names(xml), ">").alias("names"))
+
+
+DEEP = "SELECT n_nationkey, (SELECT string_agg('C' || i || ' & so', '>' ORDER BY i) FROM range(n_nationkey + 1) t(i)) || '>Last' AS names FROM nation"
+
+
+def query_values(spark: SparkSession, folder: str) -> DataFrame:
+    """Identifiers and titles of feed items as values of a query string, and numbers as text with decimals."""
+    rows = table(spark, folder, "feed_items")
+    return rows.select("item_row_id", K.query_value(F.col("guid")).alias("guid"), K.query_value(F.col("title")).alias("title"), K.fixed(K.leading_number(F.col("itunes_duration")) / 7, 2).alias("fixed"))
 
 
-BLOBS = "SELECT image_media_id, CASE ascii(image_media_id[1]) % 4 WHEN 0 THEN 'processed/' || image_media_id || '/base.webp' WHEN 1 THEN 'processed/' || image_media_id || '/base.jpg' WHEN 2 THEN 'processed/' || image_media_id || '/base.png' END AS path FROM podcast_series WHERE image_media_id IS NOT NULL"
+_ENCODED = "replace(replace(replace(replace(replace(url_encode({0}), '%21', '!'), '%27', chr(39)), '%28', '('), '%29', ')'), '%2A', '*')"
+QUERY_VALUES = rf"""SELECT item_row_id, {_ENCODED.format("guid")} AS guid, {_ENCODED.format("title")} AS title,
+  printf('%.2f', try_cast(nullif(regexp_extract(itunes_duration, '^[ \t\n\x0b\f\r]*([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)', 1), '') AS DOUBLE) / 7) AS fixed FROM feed_items"""
 
 
 def speaker_map(spark: SparkSession, folder: str) -> DataFrame:
@@ -433,6 +507,7 @@ QUERIES = {
     "job_event_resolution": job_event_resolution, "message_entity_join": message_entity_join, "entity_lookup_first": entity_lookup_first, "episode_series_join": episode_series_join, "children_census": children_census,
     "status_tally": status_tally, "cascade_delete": cascade_delete, "requeue_all": requeue_all, "event_latest_status": event_latest_status, "event_json": event_json, "text_functions": text_functions, "math_functions": math_functions,
     "image_request_parse": image_request_parse, "palette_roles": palette_roles, "category_flatten": category_flatten, "blob_fallback": blob_fallback, "speaker_map": speaker_map,
+    "image_messages": image_messages, "series_update": series_update, "image_rows": image_rows, "category_any_depth": category_any_depth, "query_values": query_values,
     "job_requests": job_requests, "completion_last": completion_last, "completion_strict": completion_strict, "graph_ids": graph_ids,
 }
 SQL = {
@@ -441,5 +516,6 @@ SQL = {
     "job_event_resolution": RESOLUTION, "message_entity_join": ENTITY, "entity_lookup_first": LOOKUP, "episode_series_join": SERIES_JOIN, "children_census": CENSUS,
     "status_tally": TALLY, "cascade_delete": CASCADE, "requeue_all": REQUEUE, "event_latest_status": EVENT_STATUS, "event_json": EVENT_JSON, "text_functions": TEXTS, "math_functions": MATH,
     "image_request_parse": IMAGES, "palette_roles": PALETTE, "category_flatten": CATEGORIES, "blob_fallback": BLOBS, "speaker_map": SPEAKER_MAP,
+    "image_messages": IMAGE_MESSAGES, "series_update": SERIES_UPDATE, "image_rows": IMAGE_ROWS, "category_any_depth": DEEP, "query_values": QUERY_VALUES,
     "job_requests": JOBS, "completion_last": COMPLETION_LAST, "completion_strict": COMPLETION_STRICT, "graph_ids": GRAPH_IDS,
 }

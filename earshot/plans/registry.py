@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import feeds, general, podcast, streams
+from . import feeds, files, general, podcast, streams
 
-QUERIES = {**general.QUERIES, **feeds.QUERIES, **podcast.QUERIES, **streams.QUERIES}
-SQL = {**general.SQL, **feeds.SQL, **podcast.SQL, **streams.SQL}
+QUERIES = {**general.QUERIES, **feeds.QUERIES, **files.QUERIES, **podcast.QUERIES, **streams.QUERIES}
+SQL = {**general.SQL, **feeds.SQL, **files.SQL, **podcast.SQL, **streams.SQL}
 FLAGSHIP = "transcript_processing"

@@ -29,6 +29,10 @@ def test_scalar_functions(spark):
     assert values(spark, K.ellipsize(x, 4), [("abcd",), ("abcde",), (None,)]) == ["abcd", "abc…", None]
     assert values(spark, K.utf16_length(x), [("a😀",)]) == [3]
     assert values(spark, K.query_value(x), [("a b&c",)]) == ["a%20b%26c"]
+    assert values(spark, K.query_value(x), [("it's (a) ~b!*",)]) == ["it's%20(a)%20~b!*"]
+    assert values(spark, K.fixed(x, 1), [(0.25,), (2.0,), (None,)], "x double") == ["0.3", "2.0", None]
+    assert values(spark, K.leading_int(x), [("007x",), ("0" * 30 + "5",), ("9" * 30,), ("-3",)]) == [7, 5, None, -3]
+    assert values(spark, K.clock_ms(x), [("0" * 12 + "5",), ("9" * 20,), ("1:" + "0" * 12 + "5",), ("9" * 20 + ":00",)]) == [5000, None, 65000, None]
     assert values(spark, K.trimmed(x), [("  a　\n",)]) == ["a"]
     assert values(spark, K.clock_ms(x), [("12.5",), ("12,5",), (" 3.1s",), ("1:02:03.5",), ("0:00.539",), ("x",), (None,), ("",), ("1:x",)]) == [12500, 12500, 3100, 3723500, 539, None, None, None, None]
     dates = [("Fri, 01 Apr 2022 13:55:16 -0500",), ("01 Apr 2022 13:55:16 GMT",), ("2021-01-12T10:55:16Z",), ("yesterday",), ("2021-13-02",), (None,), ("",)]
@@ -187,6 +191,8 @@ def test_categories(spark):
     doc = [{"_text": "Arts", "category": [{"_text": "Books"}, {"_VALUE": "Design"}, {"_text": ""}]}, {"_text": "News"}]
     df = spark.createDataFrame([(json.dumps(doc),)], "j string").select(F.from_json("j", f"array<{feeds.category_type(3).simpleString()}>").alias("c"))
     assert df.select(feeds.flatten_categories(F.col("c"), 3)).first()[0] == ["Arts", "Books", "Design", "News"]
+    xml = "<channel>" + "".join(f'<itunes:category text="c{i}">' for i in range(40)) + "</itunes:category>" * 40 + "<category text='R &amp; D'/><itunes:category text=''/></channel>"
+    assert values(spark, feeds.category_names(F.col("x")), [(xml,), ("<x/>",)]) == [[f"c{i}" for i in range(40)] + ["R & D"], []]
 
 
 @pytest.mark.parametrize("stem", ["a", "b"])
@@ -225,3 +231,33 @@ def test_sinks(spark, tmp_path):
     blobs = spark.createDataFrame([("raw/a", b"12"), ("raw/b", None)], "key string, content binary")
     assert sorted(map(tuple, sinks.write_blobs(blobs, str(tmp_path / "store")).collect())) == [("raw/a", 2), ("raw/b", None)]
     assert (tmp_path / "store" / "raw" / "a").read_bytes() == b"12"
+
+
+def test_base_files_by_format(spark):
+    wanted = spark.createDataFrame([(m, f) for m in ("both", "jpg", "png", "webp", "none") for f in ("jpg", "png", "webp")] + [(None, "jpg")], "media_id string, format string")
+    paths = [f"x/processed/{m}/base.{k}" for m, kinds in {"both": ("jpg", "png"), "jpg": ("jpg",), "png": ("png",), "webp": ("webp",)}.items() for k in kinds]
+    got = {(r.media_id, r.format): (r.path or "").rpartition(".")[2] or r.error for r in media.blob_with_fallback(wanted, spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
+    no = "no such picture"
+    assert got == {("both", "jpg"): "jpg", ("both", "png"): "png", ("both", "webp"): "jpg", ("jpg", "jpg"): "jpg", ("jpg", "png"): no, ("jpg", "webp"): "jpg", ("png", "jpg"): "png", ("png", "png"): "png", ("png", "webp"): "png", **{(m, f): no for m in ("webp", "none") for f in ("jpg", "png", "webp")}, (None, "jpg"): no}
+
+
+def test_default_chapters_only_without_any(spark):
+    df = spark.createDataFrame([("a", 1, "x", 5_000, 60_000), ("b", 2, "y", None, 5)], "episode_id string, n int, title string, start_ms bigint, end_ms bigint")
+    lengths = spark.createDataFrame([("a", 100_000), ("b", 100_000), ("c", None)], "episode_id string, duration_ms bigint")
+    got = sorted(map(tuple, chapters.repair_chapters(df, lengths, "n", defaults=True).collect()), key=str)
+    assert got == [("a", 1, "x", 0, 100_000), ("b", None, "Closing", 90_000, 100_000), ("b", None, "Introduction", 0, 10_000), ("b", None, "Main Content", 10_000, 90_000)]
+
+
+def test_answers_of_models(spark):
+    df = spark.createDataFrame([(1, '{"segments": [{"type": "analysis", "start_sec": 1, "end_sec": 2.5, "humor": 3}, {"type": null}]}'), (2, "{"), (3, None), (4, "{}"), (5, '{"segments": []}')], "e int, a string")
+    got = [(r.e, r.place, r.type, r.start_sec, r.humor) for r in models.parse_segments(df, "a", ["e"]).orderBy("e", "place").collect()]
+    assert got == [(1, 0, "analysis", 1.0, 3.0), (1, 1, None, None, None)]
+    assert values(spark, models.segment_context(F.col("x"), F.lit("S"), F.lit("E"), F.lit("analysis"), F.lit("1:00")), [("told",), ("",), (None,)]) == ["told", "", 'Segment from "S" episode "E". analysis at 1:00.']
+
+
+def test_utterances_without_an_id(spark):
+    rows = [("a", "e", "2", "3", "x", "spk_0", 1), ("a", "e", "9", "9", "y", "spk_1", 2), (None, "e", "1", "2", "p", None, 1), (None, "e", "1", "2", "p", None, 1)]
+    df = spark.createDataFrame(rows, "segment_id string, episode_id string, start_time string, end_time string, transcript string, speaker_label string, ingested_at int")
+    got = transcripts.utterances(df).collect()
+    assert sorted((r.ord, r.segment_id or "", r.text, r.label) for r in got) == [(0, "", "p", "unknown"), (1, "", "p", "unknown"), (2, "a", "x", "spk_0")]
+    assert transcripts.utterances(df, text=False, label=False, ordered=False).columns == ["episode_id", "segment_id", "start_ms", "end_ms"]
