@@ -1,6 +1,7 @@
 """Streams of messages and events: parsing, the latest state per key, exactly-once tables and time windows.
 
-Every stream has a batch counterpart over the same rows that gives the same final state.
+Every stream has a batch counterpart over the same rows that gives the same final state; that of
+:func:`transitions` only if events come in order from batch to batch, and it counts those that don't.
 """
 
 from __future__ import annotations
@@ -51,26 +52,29 @@ def transitions(events: DataFrame, allowed: dict[str, Sequence[str]], start: str
     """Each key's state by a machine: an event moves it only if the machine allows that, or to a terminal state.
 
     ``events`` has key, status, ts and seq. Events of a key are taken in order within a batch; one
-    that isn't newer than the key's last is ignored, so replays change nothing. State per key: its
-    status and the last event's place. Returns key, status and n_ignored, in update mode.
+    that isn't newer than the key's last moves nothing, so replays change nothing, and is counted as
+    late unless it is that last event itself. State per key: its status, the last event's place and
+    the counts. Returns key, status, n_ignored (not allowed) and n_late, in update mode.
     """
-    out, state = "key string, status string, n_ignored bigint", "status string, ts double, seq bigint, n bigint"
+    out, state = "key string, status string, n_ignored bigint, n_late bigint", "status string, ts double, seq bigint, n bigint, late bigint"
     moves = {k: set(v) for k, v in allowed.items()}
     ends = set(terminal)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        status, ts, seq, ignored = group.get if group.exists else (start, float("-inf"), -1, 0)
-        rows = sorted((float(t.timestamp()), int(s), x) for part in parts for t, s, x in zip(part["ts"], part["seq"], part["status"], strict=True))
-        for t, s, x in rows:
-            if (t, s) <= (ts, seq):
+        status, ts, seq, ignored, late = group.get if group.exists else (start, float("-inf"), -1, 0, 0)
+        rows = pd.concat([part[["ts", "seq", "status"]] for part in parts], ignore_index=True).sort_values(["ts", "seq"], kind="stable")
+        for t, s, x in zip(rows["ts"], rows["seq"].tolist(), rows["status"].tolist(), strict=True):
+            place = (t.timestamp(), s)
+            if place <= (ts, seq):
+                late += place < (ts, seq)
                 continue
-            ts, seq = t, s
+            ts, seq = place
             if x in ends or x in moves.get(status, ()):
                 status = x
             else:
                 ignored += 1
-        group.update((status, ts, seq, ignored))
-        yield pd.DataFrame({"key": [key[0]], "status": [status], "n_ignored": [ignored]})
+        group.update((status, ts, seq, ignored, late))
+        yield pd.DataFrame({"key": [key[0]], "status": [status], "n_ignored": [ignored], "n_late": [late]})
 
     return events.groupBy("key").applyInPandasWithState(step, out, state, "update", GroupStateTimeout.NoTimeout)
 

@@ -36,8 +36,8 @@ def test_machine_and_replay(spark, tmp_path):
     seen = {}
     stream = P.queue(spark, str(data), SCHEMA, files_per_batch=1).drop("raw")
     allowed = {"pending": ["downloading"], "downloading": ["processing"], "processing": ["complete"]}
-    drain(P.transitions(stream, allowed, "pending"), tmp_path, lambda batch, _: seen.update({r.key: (r.status, r.n_ignored) for r in batch.collect()}))
-    assert seen == {"a": ("complete", 1), "b": ("failed", 0)}
+    drain(P.transitions(stream, allowed, "pending"), tmp_path, lambda batch, _: seen.update({r.key: (r.status, r.n_ignored, r.n_late) for r in batch.collect()}))
+    assert seen == {"a": ("complete", 1, 2), "b": ("failed", 0, 1)}
 
 
 def test_latest_is_that_of_the_table(spark, tmp_path):
