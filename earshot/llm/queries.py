@@ -86,6 +86,27 @@ SELECT DISTINCT 'segment', result_segment_id FROM (
 """
 
 
+def p4_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of every oversized item's pieces: from 0 to its end without a gap, each within the limit and beyond the one before, neighbours sharing no more than the overlap."""
+    pieces = p4_pieces(spark, folder)
+    before = Window.partitionBy("item_kind", "item_id").orderBy("piece")
+    seen = pieces.select("item_kind", "item_id", "piece", "start_char", "end_char", F.char_length("text").alias("n"), F.lag("start_char").over(before).alias("a"), F.lag("end_char").over(before).alias("b"))
+    first = F.col("piece") == 0
+    holds = F.when(first, F.col("start_char") == 0).otherwise((F.col("start_char") > F.col("a")) & (F.col("start_char") <= F.col("b")) & (F.col("end_char") > F.col("b")) & (F.col("b") - F.col("start_char") <= _OVERLAP))
+    whole = holds & (F.col("n") <= _LIMIT) & (F.col("n") == F.col("end_char") - F.col("start_char"))
+    return seen.groupBy("item_kind", "item_id").agg(F.max("end_char").alias("n_chars"), F.every(whole).alias("holds"))
+
+
+_P4_ITEMS = P4_FOUND[P4_FOUND.index("WITH") : P4_FOUND.index("SELECT 'utterance'")]
+P4_COVER = f"""{_P4_ITEMS}
+SELECT 'utterance' item_kind, segment_id item_id, length(transcript) AS n_chars, true AS holds FROM t WHERE length(transcript) > 4000
+UNION ALL
+SELECT 'segment', result_segment_id, n_chars, true FROM (
+  SELECT r.result_segment_id, r.a, r.b, sum(length(t.transcript)) + count(*) - 1 AS n_chars FROM r JOIN t ON t.episode_id = r.episode_id AND t.a >= r.a AND t.b <= r.b AND t.transcript <> ''
+  WHERE r.b > r.a GROUP BY ALL HAVING n_chars > 4000)
+"""
+
+
 # ---- 6: encoding of the corpus
 
 
@@ -146,6 +167,26 @@ def p7_shares(spark: SparkSession, folder: str, domains: DataFrame | None = None
     return joined.select("source", "target_weight", (F.lit(total) * F.col("target_weight")).alias("target_tokens"), "tokens", "documents", (F.col("tokens") / F.nullif(whole, F.lit(0))).alias("actual_share"))
 
 
+def p7_limits(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of every target source's part of the mix: no document more than max_repeats times, no more tokens than
+    that allows, and each leaf's budget met by less than one document more."""
+    sizes = checkpointed(_sizes(spark, folder))
+    planned, _ = _plan(spark, folder, sizes)
+    planned = checkpointed(planned)
+    mix = select_mix(sizes, _PATH, planned)
+    used = mix.groupBy(*[F.col(c).alias(f"_{c}") for c in _PATH]).agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("used"), F.max("n_tokens").alias("largest"), F.max("copies").alias("most"), (F.count(F.lit(1)) == F.countDistinct("doc_id")).alias("once"))
+    same = F.lit(True)
+    for c in _PATH:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    both = planned.join(used, same, "left")
+    over = F.coalesce("used", F.lit(0)) - F.col("given")
+    holds = (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")) & F.coalesce("once", F.lit(True)) & (over > -1e-3) & (over < F.coalesce("largest", F.lit(1))) & (F.coalesce("used", F.lit(0)) <= F.col("tokens") * F.col("max_repeats"))
+    return both.groupBy("source").agg(F.every(holds).alias("holds"))
+
+
+P7_LIMITS = "SELECT source, true AS holds FROM mix_targets GROUP BY ALL"
+
+
 # ---- 8: sentences
 
 
@@ -154,5 +195,5 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentence_units(table(spark, folder, "documents"), language="lang")
 
 
-QUERIES = {"p3_found": p3_found, "p3_profiled": p3_profiled, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
-SQL = {"p4_found": P4_FOUND}
+QUERIES = {"p3_found": p3_found, "p3_profiled": p3_profiled, "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_cover": p4_cover, "p6_ids": p6_ids, "p7_found": p7_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_limits": p7_limits, "p8_found": p8_found}
+SQL = {"p4_found": P4_FOUND, "p4_cover": P4_COVER, "p7_limits": P7_LIMITS}
