@@ -20,3 +20,9 @@ def test_entry(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns
+
+
+@pytest.mark.parametrize("name", ["episode_duration_targets", "default_chapters", "chapter_repair", "midpoint_chapter", "clamp_segments", "actual_range", "speaker_labels_first_seen", "speaker_fill", "flagship_fallback_pipeline"])
+def test_no_text_is_read_where_none_is_printed(name, spark, tables):
+    plan = registry.QUERIES[name](spark, tables)._jdf.queryExecution().executedPlan().toString()
+    assert "start_time" in plan and "transcript#" not in plan
