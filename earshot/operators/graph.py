@@ -19,7 +19,7 @@ def _clock(ms: Column) -> Column:
 
 
 def segment_records(segments: DataFrame, group: str, now: Column, limit: int = 5000) -> DataFrame:
-    """One row per piece of each segment's text: record_id, piece, type, name, data, group_id, created_at, source_description and metadata (JSON).
+    """One row per piece of each segment's text: episode_id, record_id, piece, type, name, data, group_id, created_at, source_description and metadata (JSON).
 
     ``segments``: segment_id, segment_type, chapter_id, start_ms, the metrics, series_id, series_title,
     episode_id, episode_title, published_at, context (a model's answer, or null), transcript (lines
@@ -42,7 +42,7 @@ def segment_records(segments: DataFrame, group: str, now: Column, limit: int = 5
         (F.col("_a") / 1000).alias("episode_start_sec"), (F.col("_b") / 1000).alias("episode_end_sec"), *METRICS, said.alias("audio_segments"),
     )
     return pieces.select(
-        own.alias("record_id"), "piece", F.lit("json").alias("type"),
+        "episode_id", own.alias("record_id"), "piece", F.lit("json").alias("type"),
         F.concat_ws(" - ", ellipsize(F.col("_series"), 12), ellipsize(F.col("_episode"), 15), F.concat_ws("-", _clock(F.col("_a")), _clock(F.col("_b")))).alias("name"),
         F.col("text").alias("data"), F.lit(group).alias("group_id"), created_at(F.col("published_at"), now).alias("created_at"),
         F.concat_ws(", ", "_series", "_episode", F.concat(F.lit("segment "), own), span).alias("source_description"),

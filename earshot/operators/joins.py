@@ -31,19 +31,26 @@ def _slices(a: Column, b: Column, size: int) -> Column:
     return F.sequence(_slice(a, size), F.greatest(_slice(a, size), _slice(b, size)))
 
 
-def sliced(ranges: DataFrame, key: str, occupied: DataFrame, slice_ms: int, name: str = "_sl") -> DataFrame:
+def sliced(ranges: DataFrame, key: str, occupied: DataFrame, slice_ms: int, name: str = "_sl", also: int | None = None) -> DataFrame:
     """A row for each slice of time that a range (``key``, a_ms, b_ms) touches.
 
     A range that touches more than :data:`MOST_SLICES` has rows only for those slices that are
     ``occupied`` (distinct rows of ``key`` and ``name``), so no range makes more rows than there are
-    slices with anything in them, however far away its end is.
+    slices with anything in them, however far away its end is. Every range also has a row for the
+    slice ``also``, if that is given; then the keys of ``occupied`` must have it too.
     """
     low, high = _slice(F.col("a_ms"), slice_ms), _slice(F.col("b_ms"), slice_ms)
     known = ranges.where("a_ms IS NOT NULL AND b_ms IS NOT NULL").withColumn("_narrow", high - low < MOST_SLICES)
-    narrow = known.where("_narrow").withColumn(name, F.explode(_slices(F.col("a_ms"), F.col("b_ms"), slice_ms)))
     there = occupied.select(F.col(key).alias("_o_key"), F.col(name).alias("_o_slice"))
-    wide = known.where("NOT _narrow").join(there, (F.col(key) == F.col("_o_key")) & (F.col("_o_slice") >= low) & (F.col("_o_slice") <= high))
-    return narrow.unionByName(wide.withColumnRenamed("_o_slice", name).drop("_o_key")).drop("_narrow")
+    touched = (F.col("_o_slice") >= low) & (F.col("_o_slice") <= high)
+    if also is not None:
+        touched = touched | (F.col("_o_slice") == also)
+    joined = known.join(there, ~F.col("_narrow") & (F.col(key) == F.col("_o_key")) & touched, "left")
+    own = _slices(F.col("a_ms"), F.col("b_ms"), slice_ms)
+    if also is not None:
+        own = F.concat(own, F.array(F.lit(also)))
+    every = F.when(F.col("_narrow"), own).when(F.col("_o_slice").isNotNull(), F.array("_o_slice"))
+    return joined.withColumn(name, F.explode(every)).drop("_narrow", "_o_key", "_o_slice")
 
 
 def interval_join(points: DataFrame, ranges: DataFrame, key: str, how: str, slice_ms: int = 300_000, times: DataFrame | None = None) -> DataFrame:
@@ -66,8 +73,9 @@ def interval_join(points: DataFrame, ranges: DataFrame, key: str, how: str, slic
     first = F.col("_p") == F.greatest(at, _slice(F.col("a_ms"), slice_ms))
     if how == "overlap":
         short = _slice(F.col("end_ms"), slice_ms) - at < MOST_SLICES
-        own = F.when(short, _slices(F.col("start_ms"), F.col("end_ms"), slice_ms)).otherwise(F.array(F.lit(_WIDE)))
-        rows, cheap = (df.withColumn("_p", F.explode(own)) for df in (rows, cheap))
+        own = F.when(short, _slices(F.col("start_ms"), F.col("end_ms"), slice_ms))
+        rows = rows.withColumn("_p", F.explode(F.coalesce(own, F.array(F.lit(_WIDE)))))
+        cheap = cheap.withColumn("_p", F.explode(F.concat(F.coalesce(own, F.array().cast("array<bigint>")), F.array(F.lit(_WIDE)))))
         meets = (F.col("start_ms") < F.col("b_ms")) & (F.col("end_ms") > F.col("a_ms")) & (first | (F.col("_p") == _WIDE))
     else:
         rows, cheap = (df.withColumn("_p", at) for df in (rows, cheap))
@@ -75,8 +83,5 @@ def interval_join(points: DataFrame, ranges: DataFrame, key: str, how: str, slic
             "containment": (F.col("start_ms") >= F.col("a_ms")) & (F.col("end_ms") <= F.col("b_ms")),
             "start_in": (F.col("start_ms") >= F.col("a_ms")) & (F.col("start_ms") < F.col("b_ms")),
         }[how]
-    spans = sliced(ranges, key, cheap.select(key, F.col("_p").alias("_sl")).distinct(), slice_ms)
-    if how == "overlap":
-        spans = spans.unionByName(ranges.where("a_ms IS NOT NULL AND b_ms IS NOT NULL").withColumn("_sl", F.lit(_WIDE)))
-    spans = spans.withColumnRenamed(key, "_key")
+    spans = sliced(ranges, key, cheap.select(key, F.col("_p").alias("_sl")).distinct(), slice_ms, also=_WIDE if how == "overlap" else None).withColumnRenamed(key, "_key")
     return rows.join(spans, (F.col(key) == F.col("_key")) & (F.col("_p") == F.col("_sl")) & meets).drop("_key", "_p", "_sl")

@@ -13,6 +13,7 @@ from ..operators import transcripts as U
 from ..operators.intervals import whole_ms
 from ..operators.joins import first_match, interval_join
 from ..operators.texts import split_greedy
+from ..session import checkpointed
 from ..sources.tables import table
 
 _MS = """CASE WHEN {0} LIKE '%:%:%' THEN split_part({0}, ':', 1)::BIGINT * 3600000 + split_part({0}, ':', 2)::BIGINT * 60000 + round(split_part({0}, ':', 3)::DECIMAL(18, 6) * 1000)::BIGINT
@@ -67,10 +68,10 @@ def _times(spark: SparkSession, folder: str) -> DataFrame:
     return U.times(table(spark, folder, "transcript_segments")).withColumnRenamed("episode_id", "ep")
 
 
-def _chapters(spark: SparkSession, folder: str) -> DataFrame:
+def _chapters(spark: SparkSession, folder: str, lengths: DataFrame | None = None) -> DataFrame:
     """The chapters in order and without gaps: chapter_id is the row's, or the episode's and the kind for a default chapter."""
     raw = table(spark, folder, "chapter_results").select("episode_id", "chapter_row_id", "chapter_type", "title", whole_ms(F.col("start_sec")).alias("start_ms"), whole_ms(F.col("end_sec")).alias("end_ms")).distinct()
-    repaired = C.repair_chapters(raw, _lengths(spark, folder), "chapter_row_id", defaults=True)
+    repaired = C.repair_chapters(raw, _lengths(spark, folder) if lengths is None else lengths, "chapter_row_id", defaults=True)
     own = F.coalesce(F.col("chapter_row_id").cast("string"), F.concat_ws("-", "episode_id", "chapter_type"))
     return repaired.select("episode_id", own.alias("chapter_id"), "chapter_type", "title", "start_ms", "end_ms")
 
@@ -81,9 +82,9 @@ def _segments(spark: SparkSession, folder: str, metrics: bool = False) -> DataFr
     return first.select("result_segment_id", "episode_id", "segment_type", "start_ms", "end_ms", *G.METRICS * metrics)
 
 
-def _placed(spark: SparkSession, folder: str, metrics: bool = False) -> DataFrame:
+def _placed(spark: SparkSession, folder: str, metrics: bool = False, chapters: DataFrame | None = None) -> DataFrame:
     """Segments with the chapter that holds their middle, cut to it."""
-    return C.clamp_segments(C.midpoint_chapter(_segments(spark, folder, metrics), _chapters(spark, folder), "result_segment_id", "chapter_id"))
+    return C.clamp_segments(C.midpoint_chapter(_segments(spark, folder, metrics), _chapters(spark, folder) if chapters is None else chapters, "result_segment_id", "chapter_id"))
 
 
 def _titles(spark: SparkSession, folder: str) -> DataFrame:
@@ -247,16 +248,18 @@ SELECT result_segment_id, chunk_index, total_chunks FROM b WHERE NOT ad"""
 _NOW, _GROUP = "2025-01-01T00:00:00.000Z", "podcasts"
 
 
-def _said(spark: SparkSession, folder: str) -> DataFrame:
+def _said(spark: SparkSession, folder: str, chapters: DataFrame | None = None) -> DataFrame:
     """Each kept segment with its chapter, the text of its utterances and these as stored, and its actual range."""
-    placed = _placed(spark, folder, True).where(~F.coalesce(F.col("segment_type").isin(*C.NOT_IN_GRAPH), F.lit(False)))
-    rows = U.named(_utterances(spark, folder, raw=True), _speakers(spark, folder)).withColumnRenamed("episode_id", "ep")
+    placed = _placed(spark, folder, True, chapters).where(~F.coalesce(F.col("segment_type").isin(*C.NOT_IN_GRAPH), F.lit(False)))
+    rows = U.named(_utterances(spark, folder, text=False, raw=True), _speakers(spark, folder)).withColumnRenamed("episode_id", "ep")
     ranges = placed.select(F.col("episode_id").alias("ep"), "result_segment_id", F.col("start_ms").alias("a_ms"), F.col("end_ms").alias("b_ms"))
     stored = F.struct(F.col("segment_id").alias("id"), "start_time", "end_time", "transcript", "speaker_label")
-    one = F.struct("ord", "start_ms", "end_ms", line_of(F.col("name"), F.col("text")).alias("line"), stored.alias("stored"))
+    # A segment's utterances; its text is made of them after the shuffle.
+    one = F.struct("ord", "start_ms", "end_ms", "name", stored.alias("stored"))
     found = interval_join(rows, ranges, "ep", "overlap", times=_times(spark, folder)).groupBy("result_segment_id").agg(F.array_sort(F.collect_list(one)).alias("u"))
+    line = lambda x: line_of(x["name"], F.coalesce(x["stored"]["transcript"], F.lit("")))
     texts = found.select(
-        "result_segment_id", F.array_join(F.transform("u", lambda x: x["line"]), "\n").alias("transcript"), F.transform("u", lambda x: x["stored"]).alias("audio"),
+        "result_segment_id", F.array_join(F.transform("u", line), "\n").alias("transcript"), F.transform("u", lambda x: x["stored"]).alias("audio"),
         F.col("u")[0]["start_ms"].alias("actual_start_ms"), F.element_at("u", -1)["end_ms"].alias("actual_end_ms"),
     )
     return placed.join(texts, "result_segment_id", "left").join(_titles(spark, folder), "episode_id", "left").withColumnRenamed("result_segment_id", "segment_id").withColumn("context", F.lit(None).cast("string"))
@@ -264,7 +267,7 @@ def _said(spark: SparkSession, folder: str) -> DataFrame:
 
 def graph_records(spark: SparkSession, folder: str) -> DataFrame:
     """Records for a knowledge graph: segments of kept kinds with context, transcript and metadata, in pieces. No model answers."""
-    return G.segment_records(_said(spark, folder), _GROUP, F.lit(_NOW))
+    return G.segment_records(_said(spark, folder), _GROUP, F.lit(_NOW)).drop("episode_id")
 
 
 def _pieces_sql(source: str, key: str, text: str) -> str:
@@ -414,15 +417,16 @@ def transcript_processing(spark: SparkSession, folder: str) -> DataFrame:
     ones, segments are cut to the chapter of their middle, and the kept ones become records of the
     graph with context, transcript and metadata, in pieces. Contexts take their fallback.
     """
-    lengths = U.targets(_lengths(spark, folder))
+    # Written down once: what several steps start from, a row per episode and one per chapter.
+    lengths = checkpointed(_lengths(spark, folder))
+    chapters = checkpointed(_chapters(spark, folder, lengths))
     labels = U.labels_in_order(_utterances(spark, folder, text=False))
     known = _speakers(spark, folder).withColumn("place", F.lit(0))
     speakers = U.fill_speakers(labels, known).groupBy("episode_id").agg(F.count(F.lit(1)).alias("n_speakers"))
-    chapters = _chapters(spark, folder).groupBy("episode_id").agg(F.count(F.lit(1)).alias("n_chapters"))
-    records = G.segment_records(_said(spark, folder), _GROUP, F.lit(_NOW))
-    of = F.get_json_object("metadata", "$.episode_id")
-    made = records.groupBy(of.alias("episode_id")).agg(F.count(F.lit(1)).alias("n_records"), F.sum((F.col("piece") == 0).cast("bigint")).alias("n_segments"), F.sum(F.char_length("data")).alias("n_chars"))
-    return lengths.join(speakers, "episode_id", "left").join(chapters, "episode_id", "left").join(made, "episode_id", "left").select("episode_id", "duration_ms", "n_speakers", "n_chapters", "n_segments", "n_records", "n_chars")
+    records = G.segment_records(_said(spark, folder, chapters), _GROUP, F.lit(_NOW))
+    made = records.groupBy("episode_id").agg(F.count(F.lit(1)).alias("n_records"), F.sum((F.col("piece") == 0).cast("bigint")).alias("n_segments"), F.sum(F.char_length("data")).alias("n_chars"))
+    counted = chapters.groupBy("episode_id").agg(F.count(F.lit(1)).alias("n_chapters"))
+    return lengths.join(speakers, "episode_id", "left").join(counted, "episode_id", "left").join(made, "episode_id", "left").select("episode_id", "duration_ms", "n_speakers", "n_chapters", "n_segments", "n_records", "n_chars")
 
 
 PROCESSING = f"""WITH RECURSIVE {_U}, {_NAMED}, {_CH}, {_SG}, {_MID}, {_TITLES}, {_KEPT}, {_pieces_sql("g", "result_segment_id", "data")},
