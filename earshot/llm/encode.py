@@ -14,7 +14,7 @@ import base64
 import heapq
 import unicodedata
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -166,6 +166,11 @@ class Vocabulary:
         self.ranks, self.cache_size = ranks, cache_size
         self.cache: dict[str, tuple[int, ...]] = {}
 
+    @cached_property
+    def names(self) -> dict[int, bytes]:
+        """The byte string of each rank."""
+        return {r: b for b, r in self.ranks.items()}
+
     @staticmethod
     @lru_cache(maxsize=4)
     def load(path: str) -> Vocabulary:
@@ -218,9 +223,19 @@ class Vocabulary:
         return found
 
 
-def encode(texts: Sequence[str | None], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _inside(word: str, ids: Sequence[int], names: dict[int, bytes]) -> list[int]:
+    """The code point of a piece that each of its ids begins at, or within if the id begins inside its bytes."""
+    at = list(chain.from_iterable([i] * len(ch.encode("utf-8", "surrogatepass")) for i, ch in enumerate(word)))
+    found, place = [], 0
+    for x in ids:
+        found.append(at[place])
+        place += len(names[x])
+    return found
+
+
+def encode(texts: Sequence[str | None], vocabulary: Vocabulary, inside: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of all texts end to end (int32), the number of ids of each text, and the code point in its text
-    at which each id's piece begins. Null and empty texts have no ids."""
+    at which each id's piece begins, or with ``inside`` the id itself. Null and empty texts have no ids."""
     plain = [t or "" for t in texts]
     joined, starts, ends, counts = pieces(plain)
     found = vocabulary.lookup([joined[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
@@ -230,6 +245,9 @@ def encode(texts: Sequence[str | None], vocabulary: Vocabulary) -> tuple[np.ndar
     last = np.cumsum(counts)
     firsts = np.cumsum(np.fromiter((len(t) + 1 for t in plain), np.int64, len(plain))) - np.fromiter((len(t) + 1 for t in plain), np.int64, len(plain))
     offsets = np.repeat(starts - np.repeat(firsts, counts), per_piece)
+    if inside:
+        for i in np.flatnonzero(per_piece > 1).tolist():
+            offsets[total[i] : total[i + 1]] += _inside(joined[starts[i] : ends[i]], found[i], vocabulary.names)
     return flat, total[last] - total[last - counts], offsets
 
 
@@ -249,7 +267,8 @@ def token_ids(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id"
     """``keep`` and ``ids``, the token ids of each row's whole text, without special tokens.
 
     Null and empty texts have an empty list; names of special tokens are ordinary text. With
-    ``offsets`` there is also ``starts``: for each id the code point at which its piece begins.
+    ``offsets`` there is also ``starts``: for each id the code point at which it begins, or in whose
+    bytes it begins.
     One pass without a shuffle; a task holds ``part_bytes`` of text, or one text if that is longer.
     Rows are kept as they are, repeated ones too; an empty table gives an empty result.
     """
@@ -262,7 +281,7 @@ def token_ids(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id"
         words = Vocabulary.load(vocabulary)
         for batch in batches:
             for part in _in_parts(batch, "_text", part_bytes):
-                flat, counts, starts = encode(part.column("_text").to_pylist(), words)
+                flat, counts, starts = encode(part.column("_text").to_pylist(), words, offsets)
                 bounds = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(bounds, pa.array(flat))]
                 if offsets:
@@ -289,9 +308,5 @@ def token_counts(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_
 
 def decode(ids: Sequence[int], vocabulary: str = BYTE_BPE_50K) -> str:
     """The text of a list of ids; bytes that are no text become replacement characters."""
-    return b"".join(_bytes(vocabulary)[i] for i in ids).decode("utf-8", "replace")
-
-
-@lru_cache(maxsize=4)
-def _bytes(vocabulary: str) -> dict[int, bytes]:
-    return {r: b for b, r in Vocabulary.load(vocabulary).ranks.items()}
+    names = Vocabulary.load(vocabulary).names
+    return b"".join(names[i] for i in ids).decode("utf-8", "replace")

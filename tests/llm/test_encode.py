@@ -59,6 +59,19 @@ def test_offsets_and_decoding():
         assert E.decode([i for i, s in zip(ids, starts, strict=True) if s < cut]) == text[:cut]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), TEXTS), max_size=6))
+def test_offsets_of_ids(texts):
+    words = E.Vocabulary.load(E.BYTE_BPE_50K)
+    flat, counts, starts = E.encode(texts, words, inside=True)
+    at = 0
+    for text, n in zip(texts, counts.tolist(), strict=True):
+        size = np.cumsum([0] + [len(ch.encode()) for ch in text or ""])
+        before = np.cumsum([0] + [len(words.names[i]) for i in flat[at : at + n].tolist()])[:-1]
+        assert starts[at : at + n].tolist() == (np.searchsorted(size, before, "right") - 1).tolist()
+        at += n
+
+
 def test_operator(spark):
     rows = [(1, "hello world", "x"), (2, None, "x"), (3, "", "x"), (1, "hello world", "x")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, ids string")
