@@ -333,7 +333,7 @@ class _Line:
         """Whether a new sentence begins at ``end`` though no blank is there ("an idea.No doubt")."""
         line = self.line
         at = end
-        while at < len(line) and at - end < 3 and line[at] in _OPENERS:
+        while at < len(line) and line[at] in _OPENERS:
             at += 1
         if at >= len(line) or term == begin:
             return False
@@ -418,7 +418,11 @@ class _Line:
         if strong:
             return not (dash and look == "lower")
         if kind in ";\u037e":
-            return any("Ͱ" <= c <= "Ͽ" or "ἀ" <= c <= "῿" for c in line[max(begin, term - 12) : term])
+            # Only after a Greek word it is a question mark.
+            a = term
+            while a > begin and not line[a - 1].isalpha():
+                a -= 1
+            return a > begin and ("Ͱ" <= line[a - 1] <= "Ͽ" or "ἀ" <= line[a - 1] <= "῿")
         return look != "lower"
 
     def point(self, begin: int, term: int, at: int) -> bool:
