@@ -215,11 +215,12 @@ _SPACE = re.compile(r"\s*")
 class _Line:
     """A line with its classes, and what has been found out about it so far."""
 
-    __slots__ = ("chains", "line", "known", "kinds", "table")
+    __slots__ = ("chains", "letter", "line", "known", "kinds", "seen", "table")
 
     def __init__(self, line: str, table: _Table) -> None:
         self.line, self.kinds, self.table = line, line.translate(_CLASS_OF), table
-        self.known = -1
+        self.known = self.letter = -1
+        self.seen = 0
         self.chains: dict[int, int] = {}
 
     def next_word(self, at: int) -> int:
@@ -229,6 +230,15 @@ class _Line:
             self.known = m.start() if m else len(self.line)
         return self.known
 
+    def last_letter(self, before: int) -> int:
+        """The last letter before a place, which must not go back; -1 if there is none."""
+        for i in range(before - 1, self.seen - 1, -1):
+            if self.line[i].isalpha():
+                self.letter = i
+                break
+        self.seen = before
+        return self.letter
+
     def look(self, at: int) -> str:
         """How the line goes on at ``at``: 'lower', 'upper', 'digit', 'other' by its next letter or figure, or 'host' for a host's name."""
         j = self.next_word(at)
@@ -419,10 +429,8 @@ class _Line:
             return not (dash and look == "lower")
         if kind in ";\u037e":
             # Only after a Greek word it is a question mark.
-            a = term
-            while a > begin and not line[a - 1].isalpha():
-                a -= 1
-            return a > begin and ("Ͱ" <= line[a - 1] <= "Ͽ" or "ἀ" <= line[a - 1] <= "῿")
+            a = self.last_letter(term)
+            return a >= begin and ("Ͱ" <= line[a] <= "Ͽ" or "ἀ" <= line[a] <= "῿")
         return look != "lower"
 
     def point(self, begin: int, term: int, at: int) -> bool:

@@ -57,7 +57,7 @@ def test_cover_and_order(text):
 
 
 def test_linear_in_length():
-    for text in ("a. b " * 40_000, "(" * 100_000, "“" * 50_000 + "x. Y", "." * 100_000, "x" * 300_000, '" ' * 60_000, "«a. »" * 20_000):
+    for text in ("a. b " * 40_000, "(" * 100_000, "“" * 50_000 + "x. Y", "." * 100_000, "x" * 300_000, '" ' * 60_000, "«a. »" * 20_000, "; " * 60_000, "a; " * 40_000, "x.Y" * 40_000, "(" * 40_000 + "a. B" * 9, "A. " * 40_000, "ca. " * 40_000, ". # " * 40_000):
         assert sentences(text)[-1][1] <= len(text)
 
 
