@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.compat import line_of, minutes_label
 from ..operators import chapters as C
+from ..operators import feeds as E
 from ..operators import graph as G
 from ..operators import models as M
 from ..operators import transcripts as U
@@ -245,6 +246,18 @@ b AS (SELECT *, coalesce(sum(CASE WHEN ad THEN 0 ELSE 1 END) OVER (PARTITION BY
 SELECT result_segment_id, chunk_index, total_chunks FROM b WHERE NOT ad"""
 
 
+def chapter_store(spark: SparkSession, folder: str) -> DataFrame:
+    """Chapters put into a store that has every second one in an older version: all their fields are replaced, the store's own note stays."""
+    own = C.stable_id(F.col("episode_id"), F.lit("chapter"), F.col("chapter_id")).alias("id")
+    new = _chapters(spark, folder).where("episode_id IS NOT NULL").select(own, "episode_id", "chapter_type", "title", "start_ms", "end_ms")
+    old = new.where(F.col("start_ms") % 2 == 0).select("id", "episode_id", "chapter_type", F.lit("an older title").alias("title"), "start_ms", "end_ms", F.lit("kept").alias("note"))
+    return E.upsert(old, new, ["id"], [], ["episode_id", "chapter_type", "title", "start_ms", "end_ms"], {"note": F.lit(None).cast("string")})
+
+
+STORE = f"""WITH {_U}, {_CH} SELECT sha256(episode_id || '|chapter|' || chapter_id) AS id, episode_id, chapter_type, title, start_ms, end_ms, CASE WHEN start_ms % 2 = 0 THEN 'kept' END AS note, CASE WHEN start_ms % 2 = 0 THEN 'updated' ELSE 'inserted' END AS action
+FROM ch WHERE episode_id IS NOT NULL"""
+
+
 _NOW, _GROUP = "2025-01-01T00:00:00.000Z", "podcasts"
 
 
@@ -469,13 +482,13 @@ QUERIES = {
     "transcript_timeline": transcript_timeline, "speaker_labels_first_seen": speaker_labels_first_seen, "speaker_fill": speaker_fill, "speaker_samples_top5": speaker_samples_top5,
     "episode_duration_targets": episode_duration_targets, "default_chapters": default_chapters, "chapter_repair": chapter_repair, **{f"excerpt_{h}": _excerpt(h) for h in _HOW},
     "midpoint_chapter": midpoint_chapter, "clamp_segments": clamp_segments, "actual_range": actual_range, "speaker_runs_chunked": speaker_runs_chunked, "split_documents": split_documents,
-    "ad_filter_ordinals": ad_filter_ordinals, "graph_records": graph_records, "chunk_messages": chunk_messages, "model_requests": model_requests, "segment_requests": segment_requests, "model_answers": model_answers,
+    "ad_filter_ordinals": ad_filter_ordinals, "chapter_store": chapter_store, "graph_records": graph_records, "chunk_messages": chunk_messages, "model_requests": model_requests, "segment_requests": segment_requests, "model_answers": model_answers,
     "transcript_processing": transcript_processing, "flagship_fallback_pipeline": flagship_fallback_pipeline,
 }
 SQL = {
     "transcript_timeline": TIMELINE, "speaker_labels_first_seen": LABELS, "speaker_fill": FILL, "speaker_samples_top5": SAMPLES,
     "episode_duration_targets": TARGETS, "default_chapters": DEFAULTS, "chapter_repair": REPAIR, **{f"excerpt_{h}": _excerpt_sql(c) for h, c in _HOW.items()},
     "midpoint_chapter": MIDPOINT, "clamp_segments": CLAMP, "actual_range": ACTUAL, "speaker_runs_chunked": CHUNKS, "split_documents": SPLIT,
-    "ad_filter_ordinals": ADS, "graph_records": GRAPH, "chunk_messages": MESSAGES, "model_requests": REQUESTS, "segment_requests": SEGMENT_REQUESTS, "model_answers": ANSWERS,
+    "ad_filter_ordinals": ADS, "chapter_store": STORE, "graph_records": GRAPH, "chunk_messages": MESSAGES, "model_requests": REQUESTS, "segment_requests": SEGMENT_REQUESTS, "model_answers": ANSWERS,
     "transcript_processing": PROCESSING, "flagship_fallback_pipeline": FLAGSHIP,
 }
