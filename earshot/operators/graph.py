@@ -12,6 +12,8 @@ from .texts import split_greedy
 
 #: A segment's measures.
 METRICS = ["lucidity", "polarity", "arousal", "subjectivity", "humor"]
+#: How a chunk's message tells where it comes from.
+CHUNK_SOURCE = 'Podcast transcript chunk %d/%d from "%s" (%s). Time: %s - %s. Context: %s'
 
 
 def _clock(ms: Column) -> Column:
@@ -57,7 +59,7 @@ def chunk_messages(chunks: DataFrame, group: str, now: Column) -> DataFrame:
     episode_id, episode_title and context (a model's answer, or null).
     """
     context = chunk_context(F.col("context"), F.col("series_title"), F.col("episode_title"), F.col("label"))
-    told = F.format_string('Podcast transcript chunk %d/%d from "%s" (%s). Time: %s - %s. Context: %s', F.col("chunk_index") + 1, F.col("total_chunks"), F.col("episode_title"), F.col("series_title"), _clock(F.col("start_ms")), _clock(F.col("end_ms")), context)
+    told = F.format_string(CHUNK_SOURCE, F.col("chunk_index") + 1, F.col("total_chunks"), F.col("episode_title"), F.col("series_title"), _clock(F.col("start_ms")), _clock(F.col("end_ms")), context)
     metadata = F.struct(
         "series_id", "series_title", "episode_id", "episode_title", F.col("label").alias("speaker_label"), (F.col("start_ms") / 1000).alias("start_time"), (F.col("end_ms") / 1000).alias("end_time"),
         "chunk_index", "total_chunks", context.alias("context_summary"),

@@ -59,14 +59,19 @@ def _answer_or(answer: Column, fallback: Column) -> Column:
     return F.coalesce(answer, fallback)
 
 
+# The sentences that stand for a description that failed.
+SEGMENT_SENTENCE = 'Segment from "%s" episode "%s". %s at %s.'
+CHUNK_SENTENCE = "Transcript chunk from %s - %s, spoken by %s"
+
+
 def segment_context(answer: Column, series_title: Column, episode_title: Column, kind: Column, start_label: Column) -> Column:
     """A model's description of a segment, else a sentence from what is known."""
-    return _answer_or(answer, F.format_string('Segment from "%s" episode "%s". %s at %s.', series_title, episode_title, kind, start_label))
+    return _answer_or(answer, F.format_string(SEGMENT_SENTENCE, series_title, episode_title, kind, start_label))
 
 
 def chunk_context(answer: Column, series_title: Column, episode_title: Column, label: Column) -> Column:
     """A model's description of a chunk of one speaker, else a sentence from what is known."""
-    return _answer_or(answer, F.format_string("Transcript chunk from %s - %s, spoken by %s", series_title, episode_title, label))
+    return _answer_or(answer, F.format_string(CHUNK_SENTENCE, series_title, episode_title, label))
 
 
 # How much of a text a model is shown.
